@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -259,7 +260,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
 
     def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         column = batch.column(ids)
-        counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
         data, sizes = model(path, pattern).decode(flat, counts)
         offsets = np.zeros(len(sizes) + 1, dtype=np.int32)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,7 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start, total = 0, 0
         for i, n in enumerate(sizes.tolist()):
             if total and total + n > most:

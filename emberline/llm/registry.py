@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1
+from .packing import op2
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1}
+    return {"op1_bpe": op1, "op2_packing": op2}
 
 
 def oracle_sql() -> dict[str, str]:
