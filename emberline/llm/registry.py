@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1
 from .packing import op2
+from .quality import op9
+from .toxicity import op3
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1, "op2_packing": op2}
+    return {"op1_bpe": op1, "op2_packing": op2, "op3_toxicity": op3, "op9_quality": op9}
 
 
 def oracle_sql() -> dict[str, str]:
