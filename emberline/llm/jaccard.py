@@ -279,6 +279,12 @@ def join(df: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id are documents of their own; a null doc_id gets the smallest id of the others that links reach, if any.
     """
+    found = groups(df)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def groups(df: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n, component (a number for each group; null: no shingle) and component_id (its smallest doc_id) of each row."""
     prepare(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = checkpointed(_sets(docs, frequent(docs)))
@@ -308,10 +314,26 @@ def join(df: DataFrame) -> DataFrame:
     if more is not None and more.head(1):
         first = components(links.unionByName(more))
     whole = reps.select("sig", "least").join(first.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig"))
-    named = whole.join(whole.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("sig", "component_id")
-    out = sets.select("doc_id", "n", "sig").join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = whole.join(whole.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("sig", F.col("c").alias("component"), "component_id")
+    return sets.select("doc_id", "text_hash", "n", "sig").join(named, "sig", "left").drop("sig")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+def deduplicate(df: DataFrame) -> DataFrame:
+    """One row of each group of linked documents: the one of the smallest doc_id (null last; then by a hash of the text).
+
+    Rows with empty sets stay, each; of rows that repeat id and text one stays if they hold a shingle.
+    """
+    keys = {"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_k2": F.xxhash64("text")}
+    docs = df.withColumns(keys)
+    found = checkpointed(groups(docs.select(F.col("_k1").alias("doc_id"), "text")))
+    chosen = found.where("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_k1"), F.col("k.text_hash").alias("_k2"))
+    many = found.where("n > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).select(F.col("doc_id").alias("_k1"), F.col("text_hash").alias("_k2"), "rows")
+    chosen = chosen.join(many, ["_k1", "_k2"])
+    empty = found.where("n = 0").select(F.col("doc_id").alias("_k1"), F.col("text_hash").alias("_k2"), F.lit(0).cast("long").alias("rows")).distinct()
+    kept = docs.join(chosen.unionByName(empty), ["_k1", "_k2"])
+    again = kept.where("rows > 1").dropDuplicates(["_k1", "_k2"])
+    return kept.where("rows < 2").unionByName(again).select(*df.columns)

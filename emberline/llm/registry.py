@@ -10,6 +10,7 @@ from .ann import op5
 from .bpe import op1
 from .jaccard import op10
 from .language import op6
+from .linededup import op4
 from .packing import op2
 from .quality import op9
 from .substrings import op7
@@ -18,7 +19,7 @@ from .toxicity import op3
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1, "op2_packing": op2, "op3_toxicity": op3, "op5_ann": op5, "op6_language": op6, "op7_suffix": op7, "op8_topk": op8, "op9_quality": op9, "op10_jaccard": op10}
+    return {"op1_bpe": op1, "op2_packing": op2, "op3_toxicity": op3, "op4_linededup": op4, "op5_ann": op5, "op6_language": op6, "op7_suffix": op7, "op8_topk": op8, "op9_quality": op9, "op10_jaccard": op10}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -298,3 +298,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return docs.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def as_text(removed: DataFrame) -> DataFrame:
+    """The frame of remove() with kept as a string. A cut may fall within a character; what is left of such a character goes as well."""
+
+    def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return {"kept": pa.array([x.decode("utf-8", "ignore") for x in batch.column(batch.schema.get_field_index("kept")).to_pylist()], pa.string())}
+
+    return with_columns(removed, kernel, [T.StructField("kept", T.StringType())], "kept")
