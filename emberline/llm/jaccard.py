@@ -152,7 +152,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """doc_id, n, sig, first: shingles to scan lists for, as numbers whose unsigned order is the common order."""
+    """doc_id, n, rare (shingles that few have), sig, first: shingles to scan lists for, as numbers whose unsigned order is the common order."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -164,6 +164,8 @@ def _sets(docs: DataFrame, often: np.ndarray) -> DataFrame:
         take = np.where(counts >= SCANNED, first_shingles(counts), 0)
         out = []
         ends = np.cumsum(counts)
+        total = np.concatenate([[0], np.cumsum(hot.astype(np.int64))])
+        rare = counts - (total[ends] - total[ends - counts])
         for a, b, k in zip((ends - counts).tolist(), ends.tolist(), take.tolist(), strict=True):
             if k:
                 out.append(np.sort(ranked[a:b])[:k])
@@ -172,12 +174,13 @@ def _sets(docs: DataFrame, often: np.ndarray) -> DataFrame:
             "doc_id": batch.column(0),
             "text_hash": batch.column(2),
             "n": pa.array(counts),
+            "rare": pa.array(rare),
             "sig": pa.array(sig),
             "first": lists(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64), take, pa.int64()),
             "small": lists(np.concatenate(small) if small else np.zeros(0, np.int64), np.where(counts <= SMALL, counts, 0), pa.int64()),
         }
 
-    schema = T._parse_datatype_string("doc_id long, text_hash long, n long, sig long, first array<long>, small array<long>")
+    schema = T._parse_datatype_string("doc_id long, text_hash long, n long, rare long, sig long, first array<long>, small array<long>")
     return rows_from(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), kernel, schema, "text", 1_000_000)
 
 
@@ -208,7 +211,8 @@ def _small_links(sets: DataFrame) -> DataFrame:
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """h, sig, n, lead: postings of lists with more than one member; lead is a member that all others of the list share.
+    """h, sig, n, rare, lead: postings of lists with more than one member; lead is the member with the fewest rare shingles, like the text that
+    the others of a group were copied from.
 
     Lists of shingles that few documents have are read in order from one partition. Others may hold much of the corpus, so their lead comes
     from an aggregation and is joined back.
@@ -218,7 +222,7 @@ def _lists(postings: DataFrame) -> DataFrame:
         rest: tuple[np.ndarray, ...] | None = None
         before: tuple[int, int] | None = None  # the list that is open, and its lead, once a part of it has been given out
 
-        def given(h: np.ndarray, sig: np.ndarray, n: np.ndarray, start: tuple[int, int] | None) -> pa.RecordBatch:
+        def given(h: np.ndarray, sig: np.ndarray, n: np.ndarray, rare: np.ndarray, start: tuple[int, int] | None) -> pa.RecordBatch:
             new = np.concatenate([[True], h[1:] != h[:-1]])
             begin = np.flatnonzero(new)
             size = np.diff(begin, append=len(h))
@@ -227,10 +231,10 @@ def _lists(postings: DataFrame) -> DataFrame:
             if start and len(h) and h[0] == start[0]:
                 lead[: size[0]] = start[1]
                 many[: size[0]] = True
-            return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (h, sig, n, lead)], names=["h", "sig", "n", "lead"])
+            return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (h, sig, n, rare, lead)], names=["h", "sig", "n", "rare", "lead"])
 
         for batch in batches:
-            part = tuple(batch.column(i).to_numpy() for i in range(3))
+            part = tuple(batch.column(i).to_numpy() for i in range(4))
             if rest is not None:
                 part = tuple(np.concatenate([a, b]) for a, b in zip(rest, part, strict=True))
             if not len(part[0]):
@@ -248,10 +252,10 @@ def _lists(postings: DataFrame) -> DataFrame:
             yield given(*rest, before)
 
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seldom = postings.where("h >= 0").repartition(n, "h").sortWithinPartitions("h", "sig").mapInArrow(run, "h long, sig long, n long, lead long")
+    seldom = postings.where("h >= 0").repartition(n, "h").sortWithinPartitions("h", "rare", "sig").mapInArrow(run, "h long, sig long, n long, rare long, lead long")
     often = postings.where("h < 0")
-    leads = often.groupBy("h").agg(F.min("sig").alias("lead"), F.count("*").alias("k")).where("k > 1").select("h", "lead")
-    return seldom.unionByName(often.join(leads, "h").select("h", "sig", "n", "lead"))
+    leads = often.groupBy("h").agg(F.min(F.struct("rare", "sig")).alias("lead"), F.count("*").alias("k")).where("k > 1").select("h", F.col("lead.sig").alias("lead"))
+    return seldom.unionByName(often.join(leads, "h").select("h", "sig", "n", "rare", "lead"))
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -288,8 +292,8 @@ def groups(df: DataFrame) -> DataFrame:
     prepare(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = checkpointed(_sets(docs, frequent(docs)))
-    reps = checkpointed(sets.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("first").alias("first"), F.first("small").alias("small")))
-    lists_ = checkpointed(_lists(reps.where("size(first) > 0").select(F.explode("first").alias("h"), "sig", "n")))
+    reps = checkpointed(sets.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("first").alias("first"), F.first("small").alias("small")))
+    lists_ = checkpointed(_lists(reps.where("size(first) > 0").select(F.explode("first").alias("h"), "sig", "n", "rare")))
     fits = lambda a, b: (4 * F.least(a, b) >= 3 * F.greatest(a, b))
     size = reps.select(F.col("sig").alias("lead"), F.col("n").alias("lead_n"))
     near = lists_.where("sig <> lead").groupBy("sig", "lead").agg(F.first("n").alias("n"), F.count("*").alias("shared")).join(size, "lead").where(fits("n", "lead_n"))
@@ -298,17 +302,21 @@ def groups(df: DataFrame) -> DataFrame:
     links = _small_links(reps).unionByName(_verified(docs, reps, checkpointed(near.select(F.col("sig").alias("a"), F.col("lead").alias("b")))))
     links = checkpointed(links)
     first = components(links)
-    # members of one list in different components
-    known = lists_.select("h", "sig", "n").join(first.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
+    # Members of one list in different components. A set with a frequent shingle among its first has all its rare ones before it. Two sets that
+    # share a rare one meet in that one's list; two that meet in the list of a frequent one without that share no more than frequent ones.
+    known = lists_.select("h", "sig", "n", "rare").join(first.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
     mixed = known.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
     open_ = checkpointed(known.join(mixed, "h"))
-    other = open_.select("h", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    across = open_.join(other, "h").where("sig < b and c <> c_b").where(fits("n", "n_b")).groupBy("sig", "b").agg(F.first("n").alias("n"), F.first("n_b").alias("n_b"), F.count("*").alias("shared"))
+    other = open_.select("h", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("rare").alias("rare_b"), F.col("c").alias("c_b"))
+    enough = F.expr(f"h >= 0 or {WHOLE} * least(n - rare, n_b - rare_b) >= {PART} * (n + n_b)")
+    across = open_.join(other, "h").where("sig < b and c <> c_b").where(fits("n", "n_b")).where(enough).groupBy("sig", "b").agg(F.first("n").alias("n"), F.first("n_b").alias("n_b"), F.first("rare").alias("rare"), F.first("rare_b").alias("rare_b"), F.count("*").alias("shared"))
     # all shared shingles up to where the first of the two prefixes ends are counted, and beyond it that set has n - prefix more
     flipped = lambda x: x.bitwiseXOR(F.lit(-(2**63)))  # noqa: E731  unsigned order
     ends = reps.where("size(first) > 0").select("sig", flipped(F.element_at("first", -1)).alias("end"), F.size("first").alias("taken"))
     across = across.join(ends, "sig").join(ends.select(F.col("sig").alias("b"), F.col("end").alias("end_b"), F.col("taken").alias("taken_b")), "b")
-    most = F.col("shared") + F.when(F.col("end") < F.col("end_b"), F.col("n") - F.col("taken")).when(F.col("end") > F.col("end_b"), F.col("n_b") - F.col("taken_b")).otherwise(F.least(F.col("n") - F.col("taken"), F.col("n_b") - F.col("taken_b")))
+    # frequent shingles of pairs that are not met in frequent lists are not counted, so all that could be shared are added
+    uncounted = F.when(F.expr(f"{WHOLE} * least(n - rare, n_b - rare_b) >= {PART} * (n + n_b)"), 0).otherwise(F.greatest(F.lit(0), F.least(F.col("taken") - F.col("rare"), F.col("taken_b") - F.col("rare_b"))))
+    most = F.col("shared") + uncounted + F.when(F.col("end") < F.col("end_b"), F.col("n") - F.col("taken")).when(F.col("end") > F.col("end_b"), F.col("n_b") - F.col("taken_b")).otherwise(F.least(F.col("n") - F.col("taken"), F.col("n_b") - F.col("taken_b")))
     rest = checkpointed(across.where(WHOLE * most >= PART * (F.col("n") + F.col("n_b"))).select(F.col("sig").alias("a"), "b"))
     more = checkpointed(_verified(docs, reps, rest)) if rest.head(1) else None
     if more is not None and more.head(1):
