@@ -120,3 +120,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(32))
+
+
+def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """A filter of a fixed number of bits, set at each slot (long) of a frame."""
+    packed = slots.selectExpr("cast(shiftright(slot, 6) as int) as w", "shiftleft(1L, cast(slot % 64 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[packed["w"].to_numpy(dtype=np.int64)] = packed["b"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def hit(filter_: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the slot in the first bits of each hash is set in a filter of bitmap()."""
+    slot = hashes >> np.uint64(64 - bits)
+    return (filter_[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0

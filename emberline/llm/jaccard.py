@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, lists, mix, prepare, ragged, rows_from, slices, table, texts_of
+from .common import bitmap, checkpointed, hit, lists, mix, prepare, ragged, rows_from, slices, table, texts_of
 from .graph import components
 
 WORDS = 5
@@ -114,14 +114,6 @@ def signatures(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, mix(total[ends] - total[ends - counts] + counts.astype(np.uint64)), np.uint64(0)).view(np.int64)
 
 
-def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
-    """A filter of a fixed number of bits, set at each slot (long) of a frame."""
-    packed = slots.selectExpr("cast(shiftright(slot, 6) as int) as w", "shiftleft(1L, cast(slot % 64 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(1 << (bits - 6), dtype=np.int64)
-    out[packed["w"].to_numpy(dtype=np.int64)] = packed["b"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
-
-
 def frequent(docs: DataFrame) -> np.ndarray:
     """A filter that holds the shingles that many documents have. It only sets the order of shingles, so what it misses or adds by chance costs time, not links."""
 
@@ -158,9 +150,8 @@ def _sets(docs: DataFrame, often: np.ndarray) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         flat, counts = shingles(texts_of(batch.column(1)))
         sig = signatures(flat, counts)
-        slot = flat >> np.uint64(64 - FREQUENT_BITS)
-        hot = (shared.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-        ranked = (flat >> np.uint64(1)) | (hot << np.uint64(63))
+        hot = hit(shared.value, flat, FREQUENT_BITS)
+        ranked = (flat >> np.uint64(1)) | (hot.astype(np.uint64) << np.uint64(63))
         take = np.where(counts >= SCANNED, first_shingles(counts), 0)
         out = []
         ends = np.cumsum(counts)
@@ -264,8 +255,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(reps.join(ids, "sig").select(F.shiftrightunsigned(F.xxhash64("text_hash"), 64 - WANTED_BITS).alias("slot")), WANTED_BITS))
 
     def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
-        slot = np.asarray(batch.column(1)).view(np.uint64) >> np.uint64(64 - WANTED_BITS)
-        keep = (wanted.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+        keep = hit(wanted.value, np.asarray(batch.column(1)).view(np.uint64), WANTED_BITS)
         if not keep.any():
             return None
         flat, counts = shingles(texts_of(batch.column(0).filter(pa.array(keep))))

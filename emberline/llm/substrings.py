@@ -5,8 +5,10 @@ leftmost gram of the least hash. Equal strings have equal anchors, so strings ca
 share an anchor occurrence) of one anchor value. Anchors that occur once are dropped. Segments with the same bytes are counted, not kept;
 where an anchor has only one such content, all of it repeats. The other distinct segments are brought together by anchor in blocks of bounded
 size. In a block, suffixes are sorted, and intervals of equal prefixes are extended backward, breadth first, one byte at a time: common prefixes
-come out by increasing value, and the expansion stops at `length`. An anchor with very many distinct segments is spread over several
-units; strings that are alone in their unit are then compared by hash across units, so nothing is lost and no task gets all of them.
+come out by increasing value, and the expansion stops at `length`. Segments of an anchor with very many distinct ones (a common line
+between unlike neighbours) are cut into short ranges of strings; ranges have to share their common core, so most of them are alone and go.
+What still is very many is spread over several units; strings that are alone in their unit are then compared by hash across units, so nothing
+is lost and no task gets all of them.
 
 Null and empty texts have no bytes. Documents are told apart by id and text; rows that repeat both are documents of their own, so their texts repeat.
 """
@@ -21,11 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, keyed, mix, prepare, ragged, rows_from, table, texts_of, with_columns
+from .common import bitmap, checkpointed, hit, keyed, mix, prepare, ragged, rows_from, table, texts_of, with_columns
 
 LENGTH, GRAM = 200, 32
 #: Distinct segments of one anchor that a unit of work holds, about; an anchor with more is spread over several.
 UNIT = 512
+#: Strings of a range that a segment of a very common anchor is cut into.
+RANGE = 12
+#: Bits of the filter, sent to all tasks, of the documents to read segments from: 2 MB.
+WANTED_BITS = 24
 #: Bytes of the segments whose transform is built at once, unless a unit has more.
 BLOCK_BYTES = 1_000_000
 #: Prefix length up to which sorting has told suffixes apart when the expansion starts.
@@ -45,16 +51,16 @@ def grams(data: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchored(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Segments of texts: text, first string, number of strings, hash of the anchor. All strings of a segment share the anchor occurrence."""
+    """Segments of texts: text, first string, number of strings, hash of the anchor, and where it is from the first string on. All strings of a segment share the anchor occurrence."""
     sizes = np.array([len(x) for x in texts], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join([*texts, bytes(length + 8)]), dtype=np.uint8)
     many = np.maximum(sizes - length + 1, 0)
     if not many.sum():
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if len(data) > int(POSITION):
         parts = [anchored_long(t, length, gram) if len(t) > 8_000_000 else anchored([t], length, gram) for t in texts]
-        return (np.concatenate([np.full(len(p[0]), i, np.int64) for i, p in enumerate(parts)]), *(np.concatenate([p[k] for p in parts]) for k in (1, 2, 3)))
+        return (np.concatenate([np.full(len(p[0]), i, np.int64) for i, p in enumerate(parts)]), *(np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4)))
     h = grams(data, gram)
     key = (h & ~POSITION) | np.arange(len(h), dtype=np.uint64)
     width, span = length - gram + 1, 1
@@ -68,17 +74,17 @@ def anchored(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     of = np.repeat(np.arange(len(texts)), many)
     anchor = (least[at] & POSITION).astype(np.int64)
     first = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
-    return of[first], at[first] - starts[of[first]], np.diff(first, append=len(at)), h[anchor[first]]
+    return of[first], at[first] - starts[of[first]], np.diff(first, append=len(at)), h[anchor[first]], anchor[first] - at[first]
 
 
 def anchored_long(text: bytes, length: int, gram: int, step: int = 4_000_000) -> tuple[np.ndarray, ...]:
     """As anchored for one very long text, part by part; a segment may be cut in two where parts meet, which changes no result."""
     found = []
     for i in range(0, max(1, len(text) - length + 1), step):
-        _, a, n, h = anchored([text[i : i + step + length - 1]], length, gram)
-        found.append((a + i, n, h))
-    a, n, h = (np.concatenate(x) for x in zip(*found, strict=True))
-    return np.zeros(len(a), np.int64), a, n, h
+        _, a, *more = anchored([text[i : i + step + length - 1]], length, gram)
+        found.append((a + i, *more))
+    a, n, h, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    return np.zeros(len(a), np.int64), a, n, h, place
 
 
 def suffixes(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,14 +150,14 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-SEGMENT = "anchor long, digest long, _k1 long, _k2 long, first int, many int"
+SEGMENT = "anchor long, digest long, _k1 long, _k2 long, first int, many int, place int"
 OUTCOME = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("string", T.LongType())])
 
 
 def _segments(docs: DataFrame, length: int, only_anchor: bool) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         texts = texts_of(batch.column(0))
-        of, first, many, h = anchored(texts, length)
+        of, first, many, h, place = anchored(texts, length)
         anchor = pa.array(h.view(np.int64))
         if only_anchor:
             return {"anchor": anchor}
@@ -159,7 +165,7 @@ def _segments(docs: DataFrame, length: int, only_anchor: bool) -> DataFrame:
         data = np.frombuffer(b"".join([*texts, bytes(16)]), dtype=np.uint8)
         digest = content(data, starts[of] + first, many + length - 1)
         k1, k2 = (np.asarray(batch.column(i)) for i in (1, 2))
-        return {"anchor": anchor, "digest": pa.array(digest.view(np.int64)), "_k1": pa.array(k1[of]), "_k2": pa.array(k2[of]), "first": pa.array(first, pa.int32()), "many": pa.array(many, pa.int32())}
+        return {"anchor": anchor, "digest": pa.array(digest.view(np.int64)), "_k1": pa.array(k1[of]), "_k2": pa.array(k2[of]), "first": pa.array(first, pa.int32()), "many": pa.array(many, pa.int32()), "place": pa.array(place, pa.int32())}
 
     schema = T._parse_datatype_string("anchor long" if only_anchor else SEGMENT)
     return rows_from(docs.select("text", "_k1", "_k2"), kernel, schema, "text", 1_000_000)
@@ -239,28 +245,62 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     slim = docs.select("text", "_k1", "_k2").where(F.octet_length("text") >= length)
     shared = _segments(slim, length, True).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     every = checkpointed(_segments(slim, length, False).join(shared, "anchor"))
-    contents = every.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "first", "many")).alias("at"))
+    contents = every.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "first", "many", "place")).alias("at"))
     kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
     contents = checkpointed(contents.join(kinds, "anchor"))
     # where to read the distinct segments that have to be compared
-    wanted = contents.where("kinds > 1").select("at._k1", "at._k2", F.struct("anchor", "digest", "kinds", "at.first", "at.many").alias("s")).groupBy("_k1", "_k2").agg(F.collect_list("s").alias("s"))
+    wanted = contents.where("kinds > 1").select("at._k1", "at._k2", F.struct("anchor", "digest", "kinds", "at.first", "at.many", "at.place").alias("s")).groupBy("_k1", "_k2").agg(F.collect_list("s").alias("s"))
+
+    filter_ = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.shiftrightunsigned(F.xxhash64("_k2"), 64 - WANTED_BITS).alias("slot")), WANTED_BITS))
+
+    def needed(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
+        keep = pa.array(hit(filter_.value, np.asarray(batch.column(3)).view(np.uint64), WANTED_BITS))
+        return {k: batch.column(i).filter(keep) for i, k in enumerate(("text", "_k1", "_k2"))}
 
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         out: list[tuple] = []
         for text, found in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             for s in found:
-                out.append((s["anchor"], s["digest"], s["kinds"], text[s["first"] : s["first"] + s["many"] + length - 1]))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return {k: pa.array(c, t) for k, c, t in zip(("anchor", "digest", "kinds", "bytes"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)}
-
-    bytes_ = rows_from(slim.join(wanted, ["_k1", "_k2"]).select("text", "s"), cut, T._parse_datatype_string("anchor long, digest long, kinds long, bytes binary"), "text")
+                segment = text[s["first"] : s["first"] + s["many"] + length - 1]
+                if s["kinds"] <= UNIT:
+                    out.append((s["anchor"], s["digest"], s["anchor"], s["digest"], s["kinds"], 0, segment))
+                    continue
+                # ranges are counted from the anchor occurrence, so equal strings are in equal ranges
+                place = s["place"]
+                edges = [i for i in range(s["many"]) if i == 0 or (place - i) % RANGE == RANGE - 1] + [s["many"]]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    k = (place - a) // RANGE
+                    low, high = place - k * RANGE, place - k * RANGE - RANGE + 1 + length  # what all strings of a whole range share
+                    core = np.frombuffer(segment[low:high], dtype=np.uint8)
+                    part = segment[a : b - 1 + length]
+                    both = content(np.frombuffer(part + core.tobytes(), dtype=np.uint8), np.array([0, len(part)]), np.array([len(part), len(core)]))
+                    refined = mix(both[1:] ^ mix(np.array([s["anchor"]], dtype=np.int64).view(np.uint64) + np.uint64(k)))
+                    out.append((int(refined.view(np.int64)[0]), int(both[:1].view(np.int64)[0]), s["anchor"], s["digest"], 0, a, part))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return {f.name: pa.array(c, t) for f, c, t in zip(cut_schema.fields, columns, kinds_, strict=True)}
+
+    cut_schema = T._parse_datatype_string("u_anchor long, u_digest long, anchor long, digest long, kinds long, shift int, bytes binary")
+    some = rows_from(slim.withColumn("slot", F.xxhash64("_k2")), needed, T._parse_datatype_string("text string, _k1 long, _k2 long"), "text")
+    bytes_ = checkpointed(rows_from(some.join(wanted, ["_k1", "_k2"]).select("text", "s"), cut, cut_schema, "text"))
+    whole = bytes_.where("kinds > 0").select("u_anchor", "u_digest", "kinds", "bytes")
+    ranges = bytes_.where("kinds = 0")
+    met = ranges.groupBy("u_anchor").agg(F.count("*").alias("n")).where("n > 1").select("u_anchor")
+    parts = ranges.join(met, "u_anchor").groupBy("u_anchor", "u_digest").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"))
+    parts = checkpointed(parts.join(parts.groupBy("u_anchor").agg(F.count("*").alias("kinds")), "u_anchor"))
     salts = F.ceil(F.col("kinds") / UNIT).cast("int")
-    units = bytes_.select("anchor", F.pmod("digest", salts).cast("int").alias("salt"), salts.alias("salts"), "digest", "bytes")
+    units = whole.unionByName(parts.where("kinds > 1").select("u_anchor", "u_digest", "kinds", "bytes"))
+    units = units.select(F.col("u_anchor").alias("anchor"), F.pmod("u_digest", salts).cast("int").alias("salt"), salts.alias("salts"), F.col("u_digest").alias("digest"), "bytes")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     outcome = checkpointed(_expanded(units.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt", "digest"), length))
     across = outcome.where("string is not null").groupBy("string").agg(F.count("*").alias("units")).where("units > 1").select("string")
     met = outcome.where("string is not null and first is not null").join(across, "string").select("anchor", "digest", "first", "last")
-    partly = outcome.where("string is null").select("anchor", "digest", "first", "last").unionByName(met).groupBy("anchor", "digest").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
+    equal = parts.where("n > 1").select(F.col("u_anchor").alias("anchor"), F.col("u_digest").alias("digest"), F.lit(0).alias("first"), (F.octet_length("bytes") - length).alias("last"))
+    seen = outcome.where("string is null").select("anchor", "digest", "first", "last").unionByName(met).unionByName(equal)
+    # back from ranges to the segments that they were cut from
+    of_ranges = ranges.select("u_anchor", "u_digest", "anchor", "digest", "shift").join(seen.select(F.col("anchor").alias("u_anchor"), F.col("digest").alias("u_digest"), "first", "last"), ["u_anchor", "u_digest"])
+    of_ranges = of_ranges.select("anchor", "digest", (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last"))
+    partly = seen.unionByName(of_ranges).groupBy("anchor", "digest").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
     wholly = contents.where("n > 1").select("anchor", "digest", F.lit(None).cast("array<struct<first:int,last:int>>").alias("parts"))
     verdict = wholly.unionByName(partly.join(wholly.select("anchor", "digest"), ["anchor", "digest"], "left_anti"))
     covered = every.join(verdict, ["anchor", "digest"]).withColumn("p", F.explode(F.coalesce("parts", F.array(F.struct(F.lit(0).alias("first"), (F.col("many") - 1).alias("last"))))))
