@@ -34,19 +34,57 @@ END_ID = 1
 PIECE = 512
 #: Windows that a block of pieces fills, and tokens that it leaves free in each, by which differencing can balance them.
 WINDOWS, SLACK = 256, 4
-#: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Distinct words that a worker remembers before it starts anew: about 400 MB.
+REMEMBERED = 1_000_000
+
+
+class Numbers(dict):
+    """Numbers strings in the order in which they are first asked for; new holds those not numbered before."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
+class Runs:
+    """Runs of ids by number; grows without copying everything each time."""
+
+    def __init__(self) -> None:
+        self.ids, self.first, self.count = np.zeros(1024, dtype=np.uint32), np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.used = self.rows = 0
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.rows + len(counts) > len(self.count):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first[self.rows : self.rows + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.count[self.rows : self.rows + len(counts)] = counts
+        self.used += len(ids)
+        self.rows += len(counts)
+
+    def take(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs, flat, and how many each has."""
+        sizes = self.count[place]
+        return self.ids[ragged(self.first[place], sizes)], sizes
 
 
 class WordTokens:
-    """Ids of texts by the tokenizer, word by word; a word met before is not tokenised again.
+    """Ids of texts by the tokenizer; what is between white space is tokenised once and remembered.
 
-    Words are found by the tokenizer's own pattern. Texts with characters beyond the Latin blocks go to the tokenizer as a whole, since
-    they may need its Unicode normal form. Strings that name special tokens are ordinary text.
+    Its pieces are found by the tokenizer's own pattern, and those not met before go to the tokenizer, many in one text with spaces between
+    them: the last id of each is one of a word's end, which tells them apart. Texts with characters beyond the Latin blocks go to the
+    tokenizer as a whole, since they may need its Unicode normal form. Strings that name special tokens are ordinary text.
     """
 
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    OTHER = regex.compile(r"[^\x00-ɏ]")
+    OTHER = regex.compile(r"[^\x00-\x1b\x20-ɏ]")  # nor the separators that only Python splits at
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,41 +92,47 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.first, self.count = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-
-    def _remember(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(counts.sum()))
-        base = len(self.index)
-        self.index.update(zip(words, range(base, base + len(words)), strict=True))
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.ids = np.concatenate([self.ids, flat])
+        self.words, self.word_ids = Numbers(), Runs()
+        self.pieces, self.piece_ids = Numbers(), Runs()
+
+    def _remember(self) -> None:
+        parts = [self.PATTERN.findall(x) for x in self.words.new]
+        self.words.new.clear()
+        at = np.array(list(map(self.pieces.__getitem__, (x for p in parts for x in p))), dtype=np.int64)
+        new = self.pieces.new
+        for i in range(0, len(new), 500):
+            ids = np.array(self.tokenizer.encode(" ".join(new[i : i + 500]), add_special_tokens=False).ids, dtype=np.uint32)
+            counts = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            assert len(counts) == len(new[i : i + 500]), "a piece is not one word"
+            self.piece_ids.add(ids, counts)
+        new.clear()
+        ids, counts = self.piece_ids.take(at)
+        total, ends = np.concatenate([[0], np.cumsum(counts)]), np.cumsum([len(p) for p in parts])
+        self.word_ids.add(ids, np.diff(total[np.concatenate([[0], ends])]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
         words: list[str] = []
         ends: list[tuple[int, int]] = []
+        if len(self.words) > REMEMBERED:
+            self._forget()
         for i, text in enumerate(texts):
             if self.OTHER.search(text):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
             else:
-                words += self.PATTERN.findall(text.lower())
+                words += text.lower().split()
                 ends.append((i, len(words)))
-        at = list(map(self.index.get, words))
-        if None in at:
-            if len(self.index) > REMEMBERED:
-                self._forget()
-            self._remember(list({x for x in words if x not in self.index}))
-            at = list(map(self.index.__getitem__, words))
-        place = np.array(at, dtype=np.int64)
-        sizes = self.count[place]
-        flat, total, last = self.ids[ragged(self.first[place], sizes)], np.concatenate([[0], np.cumsum(sizes)]), 0
+        place = np.array(list(map(self.words.__getitem__, words)), dtype=np.int64)
+        if self.words.new:
+            self._remember()
+        flat, sizes = self.word_ids.take(place)
+        total, last = np.concatenate([[0], np.cumsum(sizes)]), 0
         for i, end in ends:
             out[i] = flat[total[last] : total[end]]
             last = end
