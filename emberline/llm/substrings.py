@@ -248,15 +248,6 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     contents = every.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "first", "many", "place")).alias("at"))
     kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
     contents = checkpointed(contents.join(kinds, "anchor"))
-    # where to read the distinct segments that have to be compared
-    wanted = contents.where("kinds > 1").select("at._k1", "at._k2", F.struct("anchor", "digest", "kinds", "at.first", "at.many", "at.place").alias("s")).groupBy("_k1", "_k2").agg(F.collect_list("s").alias("s"))
-
-    filter_ = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.shiftrightunsigned(F.xxhash64("_k2"), 64 - WANTED_BITS).alias("slot")), WANTED_BITS))
-
-    def needed(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
-        keep = pa.array(hit(filter_.value, np.asarray(batch.column(3)).view(np.uint64), WANTED_BITS))
-        return {k: batch.column(i).filter(keep) for i, k in enumerate(("text", "_k1", "_k2"))}
-
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         out: list[tuple] = []
         for text, found in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
@@ -281,10 +272,21 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return {f.name: pa.array(c, t) for f, c, t in zip(cut_schema.fields, columns, kinds_, strict=True)}
 
     cut_schema = T._parse_datatype_string("u_anchor long, u_digest long, anchor long, digest long, kinds long, shift int, bytes binary")
-    some = rows_from(slim.withColumn("slot", F.xxhash64("_k2")), needed, T._parse_datatype_string("text string, _k1 long, _k2 long"), "text")
-    bytes_ = checkpointed(rows_from(some.join(wanted, ["_k1", "_k2"]).select("text", "s"), cut, cut_schema, "text"))
-    whole = bytes_.where("kinds > 0").select("u_anchor", "u_digest", "kinds", "bytes")
-    ranges = bytes_.where("kinds = 0")
+
+    def read(which: str) -> DataFrame:
+        """The bytes of distinct segments, from one document that has each."""
+        wanted = contents.where(which).select("at._k1", "at._k2", F.struct("anchor", "digest", "kinds", "at.first", "at.many", "at.place").alias("s")).groupBy("_k1", "_k2").agg(F.collect_list("s").alias("s"))
+        filter_ = docs.sparkSession.sparkContext.broadcast(bitmap(contents.where(which).select(F.shiftrightunsigned(F.xxhash64("at._k2"), 64 - WANTED_BITS).alias("slot")), WANTED_BITS))
+
+        def needed(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
+            keep = pa.array(hit(filter_.value, np.asarray(batch.column(3)).view(np.uint64), WANTED_BITS))
+            return {k: batch.column(i).filter(keep) for i, k in enumerate(("text", "_k1", "_k2"))}
+
+        some = rows_from(slim.withColumn("slot", F.xxhash64("_k2")), needed, T._parse_datatype_string("text string, _k1 long, _k2 long"), "text")
+        return rows_from(some.join(wanted, ["_k1", "_k2"]).select("text", "s"), cut, cut_schema, "text")
+
+    whole = read(f"kinds between 2 and {UNIT}").select("u_anchor", "u_digest", "kinds", "bytes")
+    ranges = checkpointed(read(f"kinds > {UNIT}"))
     met = ranges.groupBy("u_anchor").agg(F.count("*").alias("n")).where("n > 1").select("u_anchor")
     parts = ranges.join(met, "u_anchor").groupBy("u_anchor", "u_digest").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"))
     parts = checkpointed(parts.join(parts.groupBy("u_anchor").agg(F.count("*").alias("kinds")), "u_anchor"))
