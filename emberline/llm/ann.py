@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, ragged, table
 from .vectors import search, usable
 
 #: Vectors at most, about, on which centres are fitted.
@@ -23,6 +23,8 @@ LISTS, PROBES = 64, 44
 #: Columns read before each test, and how sure the test is: larger drops fewer.
 COLUMNS, SURE = 16, 2.1
 SEED = 20_240
+#: Lists that are read before the rest, which then starts with a limit.
+NEAREST = 4
 
 
 def rotation(width: int) -> np.ndarray:
@@ -67,8 +69,9 @@ class Lists:
         """Ids and scores of the k nearest found. Distances are squared and of unit vectors; limit: one known to hold k others."""
         best_at, best_d = np.zeros(0, dtype=np.int64), np.zeros(0)
         width = len(turned)
-        for p in probes:
-            at = np.arange(self.ends[p - 1] if p else 0, self.ends[p])
+        starts = self.ends - np.diff(self.ends, prepend=0)
+        for some in (probes[:NEAREST], probes[NEAREST:]):  # the nearest lists give a limit for all the others
+            at = ragged(starts[some], self.ends[some] - starts[some])
             at = at[self.ids[at] != own]
             if not len(at):
                 continue

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -134,3 +135,19 @@ def hit(filter_: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     """Whether the slot in the first bits of each hash is set in a filter of bitmap()."""
     slot = hashes >> np.uint64(64 - bits)
     return (filter_[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
+class Idle:
+    """Calls a function once nothing has been in use for some seconds: Python workers outlive tasks, and what they remember takes memory from other stages."""
+
+    def __init__(self, clear: Callable[[], object], seconds: float = 4.0) -> None:
+        self.clear, self.seconds, self.timer = clear, seconds, None
+
+    def __enter__(self) -> None:
+        if self.timer:
+            self.timer.cancel()
+
+    def __exit__(self, *_: object) -> None:
+        self.timer = threading.Timer(self.seconds, self.clear)
+        self.timer.daemon = True
+        self.timer.start()

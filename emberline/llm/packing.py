@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, ragged, slices, table
+from .common import Idle, prepare, ragged, slices, table
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -35,7 +35,7 @@ PIECE = 512
 #: Windows that a block of pieces fills, and tokens that it leaves free in each, by which differencing can balance them.
 WINDOWS, SLACK = 256, 4
 #: Distinct words that a worker remembers before it starts anew: about 400 MB.
-REMEMBERED = 1_000_000
+REMEMBERED = 900_000
 
 
 class Numbers(dict):
@@ -145,6 +145,9 @@ def tokenizer(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+IDLE = Idle(tokenizer.cache_clear)
+
+
 def differencing(sizes: list[int], parts: int) -> list[tuple[int, list[int]]]:
     """Deals sizes out to that many parts with near-equal sums: each part's sum and the positions of its sizes."""
     if not sizes:
@@ -274,6 +277,12 @@ def pack(df: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, path: str
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from emberline.llm.packing import IDLE  # the worker's own, not a copy that travels with the task
+
+        with IDLE:
+            yield from packed(batches)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId(), capacity, piece)
         end = np.array([end_id], dtype=np.uint32)
         for batch in slices(batches, "text"):
