@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import threading
 from collections.abc import Callable, Iterator
@@ -70,6 +71,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
         yield batch.slice(start)
 
 
+def settle() -> None:
+    """Gives memory that a task no longer uses back to the machine; the worker may stay for long."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def with_columns(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict[str, pa.Array]], fields: list[T.StructField], sliced_by: str, most: int = CHUNK_BYTES) -> DataFrame:
     """The frame with columns that a kernel makes from each Arrow batch; columns of these names are replaced."""
     prepare(df.sparkSession)
@@ -82,6 +92,7 @@ def with_columns(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict[str, pa.
             made = kernel(batch)
             columns = [batch.column(batch.schema.get_field_index(k)) for k in keep] + [made[f.name] for f in fields]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in fields)])
+        settle()
 
     return df.mapInArrow(run, T.StructType([*kept, *fields]))
 
@@ -96,6 +107,7 @@ def rows_from(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict[str, pa.Arr
             made = kernel(batch)
             if made is not None:
                 yield pa.RecordBatch.from_arrays([made[k] for k in names], names=names)
+        settle()
 
     return df.mapInArrow(run, schema)
 
@@ -140,7 +152,7 @@ def hit(filter_: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 class Idle:
     """Calls a function once nothing has been in use for some seconds: Python workers outlive tasks, and what they remember takes memory from other stages."""
 
-    def __init__(self, clear: Callable[[], object], seconds: float = 4.0) -> None:
+    def __init__(self, clear: Callable[[], object], seconds: float = 2.0) -> None:
         self.clear, self.seconds, self.timer = clear, seconds, None
 
     def __enter__(self) -> None:
@@ -148,6 +160,6 @@ class Idle:
             self.timer.cancel()
 
     def __exit__(self, *_: object) -> None:
-        self.timer = threading.Timer(self.seconds, self.clear)
+        self.timer = threading.Timer(self.seconds, lambda: (self.clear(), settle()))
         self.timer.daemon = True
         self.timer.start()

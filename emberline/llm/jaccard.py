@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, checkpointed, hit, lists, mix, prepare, ragged, rows_from, slices, table, texts_of
+from .common import bitmap, checkpointed, hit, lists, mix, prepare, ragged, rows_from, settle, slices, table, texts_of
 from .graph import components
 
 WORDS = 5
@@ -33,7 +33,7 @@ POSTING_COST = 16
 #: Documents of a task that must have a shingle twice before it can count as frequent, and documents that make it frequent.
 FREQUENT = 8
 #: Shingles of a task that are counted at once.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Bits of the filters that go to all tasks: 4 MB and 2 MB. More frequent shingles than a sixteenth of it raise FREQUENT.
 FREQUENT_BITS, WANTED_BITS = 25, 24
 
@@ -135,6 +135,8 @@ def frequent(docs: DataFrame) -> np.ndarray:
                 yield from given()
                 held, size = [], 0
         yield from given()
+        held.clear()
+        settle()
 
     counts = checkpointed(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {FREQUENT}"))
     steps = [FREQUENT << i for i in range(40)]

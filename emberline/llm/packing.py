@@ -34,8 +34,8 @@ END_ID = 1
 PIECE = 512
 #: Windows that a block of pieces fills, and tokens that it leaves free in each, by which differencing can balance them.
 WINDOWS, SLACK = 256, 4
-#: Distinct words that a worker remembers before it starts anew: about 400 MB.
-REMEMBERED = 900_000
+#: Distinct words that a worker remembers before it starts anew: about 250 MB.
+REMEMBERED = 600_000
 
 
 class Numbers(dict):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, checkpointed, hit, keyed, mix, prepare, ragged, rows_from, table, texts_of, with_columns
+from .common import bitmap, checkpointed, hit, keyed, mix, prepare, ragged, rows_from, settle, table, texts_of, with_columns
 
 LENGTH, GRAM = 200, 32
 #: Distinct segments of one anchor that a unit of work holds, about; an anchor with more is spread over several.
@@ -235,6 +235,8 @@ def _expanded(units: DataFrame, length: int) -> DataFrame:
                 held.append(row)
                 size += len(row[4])
         yield from given()
+        held.clear()
+        settle()
 
     return units.mapInArrow(run, OUTCOME)
 

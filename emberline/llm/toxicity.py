@@ -162,7 +162,7 @@ def _stem_counts(rows: DataFrame) -> DataFrame:
                     if (got := memo.get(word)) is None:
                         core, _ = plain(word)
                         got = np.array([bucket(s) for s in stems(core)] if core else [], dtype=np.int64)
-                        if len(memo) < 300_000:
+                        if len(memo) < 100_000:
                             memo[word] = got
                     found.append(got)
                 if found:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class WordTable:
