@@ -34,8 +34,8 @@ END_ID = 1
 PIECE = 512
 #: Windows that a block of pieces fills, and tokens that it leaves free in each, by which differencing can balance them.
 WINDOWS, SLACK = 256, 4
-#: Distinct words that a worker remembers before it starts anew: about 250 MB.
-REMEMBERED = 600_000
+#: Distinct words that a worker remembers before it starts anew: about 400 MB.
+REMEMBERED = 1_000_000
 
 
 class Numbers(dict):
@@ -86,7 +86,8 @@ class WordTokens:
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     OTHER = regex.compile(r"[^\x00-\x1b\x20-ɏ]")  # nor the separators that only Python splits at
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -120,7 +121,7 @@ class WordTokens:
         out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
         words: list[str] = []
         ends: list[tuple[int, int]] = []
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > self.remembered:
             self._forget()
         for i, text in enumerate(texts):
             if self.OTHER.search(text):
@@ -140,9 +141,9 @@ class WordTokens:
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str) -> WordTokens:
+def tokenizer(path: str, remembered: int = REMEMBERED) -> WordTokens:
     """One for each worker process."""
-    return WordTokens(path)
+    return WordTokens(path, remembered)
 
 
 IDLE = Idle(tokenizer.cache_clear)
@@ -267,11 +268,11 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=PIECES.names)
 
 
-def pack(df: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pack(df: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, path: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of documents and where they lie in sequences; tokens are unsigned 32-bit little-endian ids.
 
     Takes doc_id and text; other columns are left out, and repeated rows are packed each. Cutting at capacity and piece length bounds
-    what one row holds.
+    what one row holds. remembered: distinct words that a worker keeps; fewer take less memory and more time.
     """
     prepare(df.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
@@ -287,7 +288,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, path: str
         end = np.array([end_id], dtype=np.uint32)
         for batch in slices(batches, "text"):
             texts = ["" if x is None else x for x in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer(path).encode(texts), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer(path, remembered).encode(texts), strict=True):
                 packer.add(doc, np.concatenate([ids, end]))
             if (made := packer.take()) is not None:
                 yield made

@@ -33,7 +33,7 @@ RANGE = 12
 #: Bits of the filter, sent to all tasks, of the documents to read segments from: 2 MB.
 WANTED_BITS = 24
 #: Bytes of the segments whose transform is built at once, unless a unit has more.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 700_000
 #: Prefix length up to which sorting has told suffixes apart when the expansion starts.
 SEED = 128
 POSITION = np.uint64((1 << 24) - 1)
