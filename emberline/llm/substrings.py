@@ -244,6 +244,8 @@ def _expanded(units: DataFrame, length: int) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """_k1, _k2 and spans (array of first byte and end) of the documents of a keyed frame that lose something; spans do not touch."""
     prepare(docs.sparkSession)
+    if length < 2 * GRAM:
+        raise ValueError(f"strings of at least {2 * GRAM} bytes")
     slim = docs.select("text", "_k1", "_k2").where(F.octet_length("text") >= length)
     shared = _segments(slim, length, True).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     every = checkpointed(_segments(slim, length, False).join(shared, "anchor"))
