@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import columns as C
 from emberline.operators import aggregates as A
+from emberline.operators import incidents as I
 from emberline.operators import joins as J
 from emberline.operators import stateful as S
 from emberline.plans import rules as R
@@ -233,6 +234,27 @@ for _n, _q in (("threshold_reset", _threshold), ("value_count_reset", _value_cou
     put(_n, _q)
 
 
+_LEVEL = lambda s, d: R.scan(tel(s, d), RULES)
+_STAGES = ", " + HITS.rstrip() + ", tac(rule_id, tactic) as (values ('T-001', 'Discovery'), ('T-002', 'Lateral Movement'), ('T-003', 'Discovery'), ('T-004', 'Command and Control')), stg as (select host_id, pid, rule_id, min(us) as us, any_value(level) as level from hits group by all) "
+put("incident_stages", lambda s, d: I.stages(_LEVEL(s, d)).select("host_id", "pid", "rule_id", "us"), _STAGES + "select host_id, pid, rule_id, us from stg")
+put(
+    "incident_score",
+    lambda s, d: I.incident_scores(I.stages(_LEVEL(s, d))),
+    _STAGES + ", g as (select host_id, count(*) as stages, count(distinct tactic) as tactics, max(level) as level from stg join tac using (rule_id) group by host_id), c as (select *, 0.45::double * level / 16 + 0.30::double * least(tactics, 5) / 5 as score from g) select host_id, stages, tactics, round(score, 6) as score, case when score >= 0.75 then 'high' when score >= 0.55 then 'medium' else 'low' end as band from c",
+)
+put("response_recommendation", lambda s, d: _LEVEL(s, d).select("event_id", "rule_id", I.response(F.col("level"), F.col("pid")).alias("action")), ", " + HITS + "select event_id, rule_id, case when level between 12 and 13 and pid is not null then 'terminate_process' when level >= 14 then 'isolate_host' end as action from hits")
+put("risk_index", lambda s, d: I.risk_index(_LEVEL(s, d).withColumn("points", F.col("level").cast("double")), ["host_id"], "points"), ", " + HITS + "select host_id, round(max(level) + 0.2::double * (sum(level) - max(level)), 6) as risk_index from hits group by host_id")
+_SPOOL = lambda s, d: tel(s, d).select(F.col("event_id").cast("string").alias("alert_id"), F.when(F.col("k") % 3 == 0, "delivered").otherwise("pending").alias("status"), F.col("us").alias("created_us"), (F.col("us") + F.col("k") * 1_000_000).alias("next_attempt_us"))
+_SPOOL_SQL = ", sp as (select event_id::varchar as alert_id, case when k % 3 = 0 then 'delivered' else 'pending' end as status, us as created_us, us + k * 1000000 as next_attempt_us from tel) "
+put("spool_claim", lambda s, d: I.claim(_SPOOL(s, d), F.lit(2 * 10**15), 25).select("alert_id", "created_us"), _SPOOL_SQL + "select alert_id, created_us from sp where status = 'pending' and next_attempt_us <= 2000000000000000 order by created_us, alert_id limit 25")
+put("delivery_dedup", lambda s, d: I.undelivered(_SPOOL(s, d), _SPOOL(s, d).where("status = 'delivered'")).groupBy("status").agg(F.count("*").alias("n")), _SPOOL_SQL + "select status, count(*) as n from sp where alert_id not in (select alert_id from sp where status = 'delivered') group by status")
+TREES = [{"feature": "k", "threshold": 40, "left": {"value": -0.5}, "right": {"feature": "value", "threshold": 60, "left": {"value": 0.25}, "right": {"value": 1.0}}}, {"feature": "access_mask", "threshold": 5000, "left": {"value": 0.125}, "right": {"value": -0.125}}]
+put("tree_score", lambda s, d: tel(s, d).select("event_id", I.tree_score(TREES).alias("score")), "select event_id, (case when k <= 40 then -0.5 when value <= 60 then 0.25 else 1.0 end + case when access_mask <= 5000 then 0.125 else -0.125 end)::double as score from tel")
+put("token_grams", lambda s, d: tel(s, d).where("command_line <> ''").select(F.explode(I.grams(F.col("command_line"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), ", w as (select event_id, regexp_extract_all(lower(command_line), '([a-z0-9_.]+)', 1) as w from tel where command_line <> ''), g as (select distinct event_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as gram from w) select gram, count(*) as n from g group by gram")
+put("time_to_detect", lambda s, d: tel(s, d).groupBy("host_id").agg(F.round((F.min(F.when(F.col("value") >= 150, F.col("us"))) - F.min("us")) / 1e6, 3).alias("seconds")), "select host_id, round((min(us) filter (value >= 150) - min(us)) / 1e6, 3) as seconds from tel group by host_id")
+put("behaviour_difference", lambda s, d: tel(s, d).groupBy("host_id").agg(F.array_join(F.array_sort(F.array_except(F.collect_set(F.when(F.col("k") < 50, F.col("process_name"))), F.collect_set(F.when(F.col("value") > 100, F.col("process_name"))))), ",").alias("only")), "select host_id, coalesce(string_agg(process_name, ',' order by process_name), '') as only from (select host_id, process_name from tel group by all having bool_or(k < 50) and not bool_or(coalesce(value > 100, false))) right join (select distinct host_id from tel) using (host_id) group by host_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules in one scan, counted by host and rule."""
     return R.scan(tel(spark, sf_dir), RULES).groupBy("host_id", "rule_id").agg(F.count("*").alias("hits"), F.max("level").cast("bigint").alias("level"))
