@@ -69,7 +69,7 @@ def canonical(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event.id").alias("event_id"),
         F.try_to_timestamp("event.timestamp").alias("ts"),
-        F.coalesce(some("host.id"), some("host.hostname"), F.lit("OFFICER-ENDPOINT")).alias("host_id"),
+        F.coalesce(some("host.id"), some("host.hostname"), F.lit("UNKNOWN_HOST")).alias("host_id"),
         event_type.alias("event_type"),
         F.col("process.pid").alias("pid"),
         F.coalesce(some("process.name"), base("process.executable")).alias("process_name"),
