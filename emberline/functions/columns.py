@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -115,7 +116,11 @@ def plain_command(command: Column) -> Column:
 
 
 def encoded_part(command: Column) -> Column:
-    return F.nullif(F.regexp_extract(plain_command(command), r"(?i)(?:-e|-enc|-encodedcommand|-encodedc)\s+([A-Za-z0-9+/=]{10,})", 1), F.lit(""))
+    return _argument(plain_command(command))
+
+
+def _argument(plain: Column) -> Column:
+    return F.nullif(F.regexp_extract(plain, r"(?i)(?:-e|-enc|-encodedcommand|-encodedc)\s+([A-Za-z0-9+/=]{10,})", 1), F.lit(""))
 
 
 #: Fixed patterns: what differs between machines and runs, in the order in which it is replaced.
@@ -150,3 +155,111 @@ def risk_points(level: Column, confidence: Column) -> Column:
 
 def platt(score: Column, a: float, b: float) -> Column:
     return 1 / (1 + F.exp(-(score * a + b)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: nested uses of a long expression would multiply the generated code."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def decoded_payload(encoded: Column) -> Column:
+    """Text of a base64 argument: UTF-16LE if all of it is printable, else what is valid of UTF-8; null if it is no base64.
+
+    Stays in the JVM. Text with surrogate pairs counts as UTF-8.
+    """
+
+    def bits(e: Column) -> Column:
+        padded = F.concat(e, F.repeat(F.lit("="), (4 - F.length(e) % 4) % 4))
+        return F.when((F.length(e) % 4 != 1) & e.rlike(r"^[A-Za-z0-9+/]+={0,2}$"), F.try_to_binary(padded, F.lit("base64")))
+
+    def text(raw: Column) -> Column:
+        narrow = F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(""))
+        wide = F.when(F.hex(raw).rlike(r"^(?:[0-9A-F]{2}(?!D[89A-F])[0-9A-F]{2})+$"), F.decode(raw, "UTF-16LE"))
+        return bound(wide, lambda w: F.when(w.rlike(r"^[^\p{C}\p{Z}]*(?:[ \r\n\t][^\p{C}\p{Z}]*)*$"), w).otherwise(narrow))
+
+    return F.nullif(F.regexp_replace(bound(bound(encoded, bits), text), r"(?U)^\s+|\s+$", ""), F.lit(""))
+
+
+def deobfuscated(command: Column) -> Column:
+    """The plain command line, and what its encoded part says behind it. Only command lines with such a part are looked at closely."""
+    whole = lambda p: F.concat(p, F.coalesce(F.concat(F.lit(" [DECODED: "), decoded_payload(_argument(p)), F.lit("]")), F.lit("")))
+    return F.when(F.contains(command, F.lit("-")), bound(plain_command(command), whole)).otherwise(plain_command(command))
+
+
+def evasion_techniques(command: Column) -> Column:
+    """Names of the disguises that a command line uses."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(command), r"\^", ""), "`", "")
+    return F.array_compact(
+        F.array(
+            F.when(F.contains(command, F.lit("^")), "caret"),
+            F.when(F.contains(command, F.lit("`")), "backtick"),
+            F.when(F.contains(bare, F.lit("'+'")) | F.contains(bare, F.lit('"+"')), "concatenation"),
+            F.when(decoded_payload(encoded_part(command)).isNotNull(), "encoding"),
+        )
+    )
+
+
+def high_entropy(command: Column) -> Column:
+    """True if a word of 12 characters or more has 4.3 bits, or the whole 4.6."""
+    words = F.filter(F.split(command, r"\s+"), lambda w: F.length(w) >= 12)
+    best = F.coalesce(F.array_max(F.transform(words, lambda w: F.round(entropy(w), 3))), F.lit(0.0))
+    return F.coalesce((best >= 4.3) | (F.round(entropy(command), 3) >= 4.6), F.lit(False))
+
+
+def dns_answers(results: Column) -> Column:
+    """Addresses of a list of answers set apart by semicolons; rows that tell a type are left out and mapped addresses unwrapped."""
+    parts = F.transform(F.split(results, ";"), lambda x: F.trim(x))
+    kept = F.filter(parts, lambda x: (x != "") & ~F.startswith(F.lower(x), F.lit("type:")))
+    return F.transform(kept, lambda x: F.regexp_replace(x, r"^(?i)::ffff:", ""))
+
+
+def extension_changed(path: Column, before: Column) -> Column:
+    """Whether a rename gives another suffix; null if a path is missing."""
+    now, was = file_extension(path), file_extension(before)
+    return F.when(path.isNotNull() & before.isNotNull(), now.isNotNull() & ~now.eqNullSafe(was))
+
+
+def account(text: Column) -> tuple[Column, Column]:
+    """Name and domain of DOMAIN\\name; a bare name has no domain."""
+    at = F.instr(text, "\\")
+    name = F.when(at > 0, F.substr(text, at + 1)).otherwise(text)
+    return F.nullif(name, F.lit("")), F.nullif(F.when(at > 0, F.substr(text, F.lit(1), at - 1)), F.lit(""))
+
+
+def registry_value_type(details: Column) -> Column:
+    return F.when(details.isNull(), None).when(F.startswith(details, F.lit("DWORD")), "REG_DWORD").when(F.startswith(details, F.lit("QWORD")), "REG_QWORD").when(F.startswith(details, F.lit("Binary Data")), "REG_BINARY").otherwise("REG_SZ")
+
+
+def drive_path(path: Column) -> Column:
+    """Device and driveless paths as C:\\...; bare names stay."""
+    text = F.replace(F.regexp_replace(path, r"^\\\\\?\\", ""), F.lit("\\\\"), F.lit("\\"))
+    device = F.regexp_extract(text, r"(?i)^\\device\\harddiskvolume\d+(\\.*)$", 1)
+    return F.when(device != "", F.concat(F.lit("C:"), device)).when(F.startswith(F.lower(text), F.lit("\\device\\harddiskvolume")), text).when(F.startswith(text, F.lit("\\")), F.concat(F.lit("C:"), text)).otherwise(text)
+
+
+def filetime(ticks: Column) -> Column:
+    """Microseconds since 1970 of a count of 100 ns since 1601."""
+    return F.call_function("div", ticks, F.lit(10)) - 11_644_473_600_000_000
+
+
+def user_category(name: Column, domain: Column) -> Column:
+    user, dom = F.lower(F.trim(F.coalesce(name, F.lit("")))), F.lower(F.trim(F.coalesce(domain, F.lit(""))))
+    return (
+        F.when(user == "", "unknown")
+        .when(user.isin("system", "local system") | F.endswith(user, F.lit("$")), "system")
+        .when(user.isin("local service", "network service", "servicio local", "servicio de red") | dom.isin("nt authority", "nt-autorität", "autorite nt"), "service")
+        .otherwise("user")
+    )
+
+
+def integrity_category(value: Column) -> Column:
+    text = F.lower(F.trim(value))
+    out = F.when(text.isNull(), "missing")
+    for level in ("low", "medium", "high", "system"):
+        out = out.when(F.startswith(text, F.lit(level)), level)
+    return out.otherwise("missing")
+
+
+def retry_delay(attempt: Column, base: float = 1.0, most: float = 300.0) -> Column:
+    """Seconds before the next attempt, without jitter."""
+    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(most))

@@ -72,3 +72,54 @@ def first_bits(events: DataFrame, most: int = 8) -> DataFrame:
     """When each process first showed each behaviour, the first `most` of them."""
     first = events.groupBy("host_id", "pid", "event_type").agg(F.min("us").alias("first_us"))
     return capped(first, ["host_id", "pid"], ["first_us", "event_type"], most)
+
+
+def pr_auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """positives, average_precision: by distinct scores, ties together."""
+    by = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
+    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    cum = by.withColumns({"tp": F.sum("p").over(w), "all": F.sum("n").over(w)})
+    return cum.agg(F.sum("p").alias("positives"), F.round(F.sum(F.col("p") * F.col("tp") / F.col("all")) / F.sum("p"), 6).alias("average_precision"))
+
+
+def calibration_error(rows: DataFrame, bins: int = 10, score: str = "score", label: str = "label") -> DataFrame:
+    """n, ece: the weighted gap of mean score and share of positives in bins of equal width."""
+    at = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1))
+    by = rows.groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.avg(score).alias("s"), F.avg(F.col(label).cast("double")).alias("y"))
+    return by.agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.abs(F.col("s") - F.col("y"))) / F.sum("n"), 6).alias("ece"))
+
+
+def at_threshold(rows: DataFrame, threshold: float, score: str = "score", label: str = "label") -> DataFrame:
+    """recall and precision of scores at or above a threshold."""
+    over, positive = F.col(score) >= threshold, F.col(label) == 1
+    tp = F.count_if(over & positive)
+    return rows.agg(F.round(F.try_divide(tp, F.count_if(positive)), 6).alias("recall"), F.round(F.try_divide(tp, F.count_if(over)), 6).alias("precision"))
+
+
+def bootstrap(rows: DataFrame, group: str, value: str, resamples: int = 1000, level: float = 0.95) -> DataFrame:
+    """mean, low, high: an interval of the mean from resampled groups.
+
+    Rows are summed by group first; a group's weight in a resample is a Poisson count from a hash of the group and its number, so nothing
+    is drawn twice differently when a task runs again.
+    """
+    sums = rows.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    u = F.pmod(F.xxhash64(F.col(group), F.col("b")), F.lit(1 << 40)) / float(1 << 40)
+    share, weight = 0.36787944117144233, F.lit(0)
+    total = share
+    for k in range(1, 9):
+        weight = F.when(u >= total, k).otherwise(weight) if k == 1 else F.when(u >= total, F.lit(k)).otherwise(weight)
+        share /= k
+        total += share
+    means = sums.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", weight).groupBy("b").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
+    ends = means.agg(F.percentile("m", F.lit((1 - level) / 2)).alias("low"), F.percentile("m", F.lit((1 + level) / 2)).alias("high"))
+    return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).join(F.broadcast(ends))
+
+
+def units(rows: DataFrame, keys: list[str], at: str, item: str) -> DataFrame:
+    """One row for each key with the earliest item and a count."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(at, item)).alias("f"), F.count("*").alias("n")).select(*keys, f"f.{at}", f"f.{item}", "n")
+
+
+def latency(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """n, total, least, most, p50 and p95 of a measure."""
+    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"))

@@ -35,19 +35,26 @@ def dedup(last: int | None, us: int, ttl: int) -> tuple[int, bool]:
     return (last, False) if last is not None and 0 <= us - last < ttl else (us, True)
 
 
-def sequence(partials: list[tuple[int, int, int]], us: int, steps: list[int], n: int, span: int) -> tuple[list[tuple[int, int, int]], bool]:
-    """Partial matches (start, last, next step) of n steps within span; steps: those that this event meets."""
+def sequence(partials: list[tuple], us: int, steps: list[int], n: int, span: int, origin: str | None = None) -> tuple[list[tuple], bool]:
+    """Partial matches (start, last, next step, origin) of n steps within span; steps: those that this event meets.
+
+    An event may complete a match and open another; a process that already waits for step 2 opens none.
+    """
     if not steps:
         return partials, False
-    partials = [p for p in partials if us - p[0] <= span]
+    partials, done = [p for p in partials if us - p[0] <= span], False
     for step in sorted((s for s in steps if s > 0), reverse=True):
-        for i, (start, last, nxt) in enumerate(partials):
-            if nxt == step and us >= last:
-                if step == n - 1:
-                    return partials[:i] + partials[i + 1 :], True
-                partials = [*partials[:i], (start, us, step + 1), *partials[i + 1 :]]
-                break
-    return ([*partials, (us, us, 1)][-16:] if 0 in steps else partials), False
+        at = next((i for i, p in enumerate(partials) if p[2] == step and us >= p[1]), None)
+        if at is None:
+            continue
+        start, _, _, first = partials[at]
+        done = step == n - 1
+        partials = [*partials[:at], *([] if done else [(start, us, step + 1, first)]), *partials[at + 1 :]]
+        if done:
+            break
+    if 0 in steps and (origin is None or not any(p[3] == origin and p[2] == 1 for p in partials)):
+        partials = [*partials, (us, us, 1, origin)]
+    return partials[-16:], done
 
 
 def beacon(state: dict[str, Any], us: int) -> tuple[dict[str, Any], dict[str, float] | None]:

@@ -217,8 +217,8 @@ def _beacon(s: SparkSession, d: str) -> DataFrame:
         state, found = S.beacon(state, row.us)
         return state, {"event_id": row.event_id, "destination_ip": row.destination_ip, **found} if found else None
 
-    rows = tel(s, d).where("event_type = 'network_connect'").where(C.destination_scope(F.col("destination_ip")) == "public").select("event_id", "host_id", "destination_ip", "us")
-    return S.folded(rows, ["host_id", "destination_ip"], ["us", "event_id"], {}, step, "event_id long, destination_ip string, connections long, median_gap double, dispersion double")
+    rows = tel(s, d).where("event_type = 'network_connect'").where(C.destination_scope(F.col("destination_ip")) == "public").select("event_id", "host_id", "pid", "destination_ip", "destination_port", "us")
+    return S.folded(rows, ["host_id", "pid", "destination_ip", "destination_port"], ["us", "event_id"], {}, step, "event_id long, destination_ip string, connections long, median_gap double, dispersion double")
 
 
 def _risk(s: SparkSession, d: str) -> DataFrame:

@@ -101,8 +101,8 @@ def load(folder: str) -> list[Rule]:
     return out
 
 
-def leaf(node: dict[str, Any]) -> Column:
-    """A condition. A field that is missing never matches, negated or not."""
+def leaf(node: dict[str, Any], plain: Column | None = None) -> Column:
+    """A condition. A field that is missing never matches, negated or not. plain: the deobfuscated command line, if there is such a column."""
     op, value, exact = node["operator"], node.get("value"), node.get("case_sensitive", False)
     col = F.col(node["field"])
     text = col.cast("string") if exact else F.lower(col.cast("string"))
@@ -146,42 +146,46 @@ def leaf(node: dict[str, Any]) -> Column:
             case "in_threat_intel":
                 return F.col("threat_intel")
             case "entropy_greater_than":
-                return C.entropy(col.cast("string")) >= float(value)
+                return F.round(C.entropy(col.cast("string")), 3) >= float(value)
         raise ValueError(op)
 
     plain_text = text
     out = F.coalesce(tested(text, col), F.lit(False)) if op != "exists" else F.coalesce(tested(text, col), F.lit(not value))
     if node["field"] == "command_line" and op not in NEGATED + ("exists", "entropy_greater_than"):
-        decoded = C.plain_command(col)
+        decoded = C.deobfuscated(col) if plain is None else plain
         again = decoded if exact else F.lower(decoded)
         out = out | F.coalesce((decoded != col) & tested(again, decoded), F.lit(False))
     return out
 
 
-def condition(node: dict[str, Any]) -> Column:
+def condition(node: dict[str, Any], plain: Column | None = None) -> Column:
     """All of `all`, one of `any` and none of `none`."""
     if "operator" in node:
-        return leaf(node)
-    parts = [condition(x) for x in node.get("all") or ()]
+        return leaf(node, plain)
+    parts = [condition(x, plain) for x in node.get("all") or ()]
     if node.get("any"):
-        parts.append(reduce(lambda a, b: a | b, [condition(x) for x in node["any"]]))
-    parts += [~condition(x) for x in node.get("none") or ()]
+        parts.append(reduce(lambda a, b: a | b, [condition(x, plain) for x in node["any"]]))
+    parts += [~condition(x, plain) for x in node.get("none") or ()]
     return reduce(lambda a, b: a & b, parts)
 
 
-def trace(node: dict[str, Any]) -> Column:
+def trace(node: dict[str, Any], plain: Column | None = None) -> Column:
     """Texts of the conditions that made a tree true: every one of `all`, the first true one of `any`."""
-    said = lambda x: F.when(condition(x), F.lit(f"{x['field']} {x['operator']} {x.get('value')}"[:160])) if "operator" in x else F.array_join(trace(x), "; ")
+    said = lambda x: F.when(condition(x, plain), F.lit(f"{x['field']} {x['operator']} {x.get('value')}"[:160])) if "operator" in x else F.array_join(trace(x, plain), "; ")
     parts = [said(x) for x in node.get("all") or ()]
     if node.get("any"):
-        parts.append(F.coalesce(*[F.when(condition(x), said(x)) for x in node["any"]]))
+        parts.append(F.coalesce(*[F.when(condition(x, plain), said(x)) for x in node["any"]]))
     return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
 
 
 def scan(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """event_id, rule_id, level, tactic, matched: one row for each rule that an event meets, by one pass over the events."""
-    hits = [F.when((F.col("event_type") == r.event_type) & condition(r.logic), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.level).alias("level"), F.lit(r.tactic).alias("tactic"), F.array_join(trace(r.logic), " & ").alias("matched"))) for r in rules if r.type == "single"]
-    return events.select("*", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(*[c for c in events.columns], "hit.*")
+    plain = None
+    columns = events.columns
+    if "command_line" in columns:  # worked out once for all rules
+        events, plain = events.withColumn("_plain", C.deobfuscated(F.col("command_line"))), F.col("_plain")
+    hits = [F.when((F.col("event_type") == r.event_type) & condition(r.logic, plain), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.level).alias("level"), F.lit(r.tactic).alias("tactic"), F.array_join(trace(r.logic, plain), " & ").alias("matched"))) for r in rules if r.type == "single"]
+    return events.select("*", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(*columns, "hit.*")
 
 
 def coverage(spark, rules: list[Rule]) -> DataFrame:

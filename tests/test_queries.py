@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from emberline.plans import catalogue
+from emberline.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,12 +22,12 @@ def plain(v):
     return round(v, 5) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, db, name):
-    df = catalogue.QUERIES[name](spark, DATA)
+    df = registry.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    if name in catalogue.ORACLES:
-        got = db.sql(catalogue.ORACLES[name])
+    if name in registry.ORACLES:
+        got = db.sql(registry.ORACLES[name])
         assert sorted(got.columns) == columns
         assert rows == sorted((tuple(plain(dict(zip(got.columns, x))[c]) for c in columns) for x in got.fetchall()), key=repr)
