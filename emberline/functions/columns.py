@@ -29,6 +29,11 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: nested uses of a long expression would multiply the generated code."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def slashed(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
 
@@ -76,10 +81,12 @@ def destination_scope(address: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits for a character; 0 for one character or none."""
-    chars = F.split(text, "")
-    size = F.length(text).cast("double")
-    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / size)
-    return F.when(F.length(text) <= 1, 0.0).otherwise(-F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.log2(p)))
+
+    def bits(chars: Column) -> Column:
+        shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars).cast("double"))
+        return -F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.log2(p))
+
+    return F.when(F.length(text) <= 1, 0.0).otherwise(bound(F.split(text, ""), bits))
 
 
 def vowel_ratio(text: Column) -> Column:
@@ -157,11 +164,6 @@ def platt(score: Column, a: float, b: float) -> Column:
     return 1 / (1 + F.exp(-(score * a + b)))
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value worked out once: nested uses of a long expression would multiply the generated code."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def decoded_payload(encoded: Column) -> Column:
     """Text of a base64 argument: UTF-16LE if all of it is printable, else what is valid of UTF-8; null if it is no base64.
 

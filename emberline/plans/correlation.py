@@ -174,7 +174,8 @@ put(
 def _features(s: SparkSession, d: str) -> DataFrame:
     starts = tel(s, d).where("event_type = 'process_create'")
     rows = X.with_features(starts, F.col("command_line"), F.col("path"), F.col("process_name"), F.when(F.col("k") % 3 > 0, F.lit("EXPLORER.EXE")))
-    return rows.select("event_id", F.explode("features").alias("feature", "value"))
+    # outer: no map is empty, and a filter on it would be pushed down and work everything out once more
+    return rows.select("event_id", F.explode_outer("features").alias("feature", "value"))
 
 
 put("process_features", lambda s, d: _features(s, d).groupBy("feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")))

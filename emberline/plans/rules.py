@@ -185,7 +185,8 @@ def scan(events: DataFrame, rules: list[Rule]) -> DataFrame:
     if "command_line" in columns:  # worked out once for all rules
         events, plain = events.withColumn("_plain", C.deobfuscated(F.col("command_line"))), F.col("_plain")
     hits = [F.when((F.col("event_type") == r.event_type) & condition(r.logic, plain), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.level).alias("level"), F.lit(r.tactic).alias("tactic"), F.array_join(trace(r.logic, plain), " & ").alias("matched"))) for r in rules if r.type == "single"]
-    return events.select("*", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(*columns, "hit.*")
+    # outer, and filtered behind: a filter in front, as the optimizer infers it of explode, works all rules out once more
+    return events.select("*", F.explode_outer(F.array_compact(F.array(*hits))).alias("hit")).where("hit is not null").select(*columns, "hit.*")
 
 
 def coverage(spark, rules: list[Rule]) -> DataFrame:
