@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from emberline.functions import columns as C
 
 OPERATORS = ("equals", "not_equals", "contains", "not_contains", "in", "not_in", "starts_with", "ends_with", "regex", "greater_than", "less_than", "cidr", "windash", "exists", "has_ancestor", "in_threat_intel", "entropy_greater_than")
+#: Names of the command line, as a column and as a field of rules.
+COMMANDS = ("command_line", "process.command_line")
+KEYS = ("host", "process", "parent", "process_tree", "user")
 NEGATED = ("not_equals", "not_contains", "not_in")
 
 
@@ -30,6 +33,8 @@ class Rule:
     count: int = 1
     window: float = 0
     evidence: list[str] = field(default_factory=list)
+    value_field: str = ""
+    steps: list[tuple[str, dict[str, Any]]] = field(default_factory=list)
 
 
 def seconds(text: str | float) -> float:
@@ -76,10 +81,35 @@ def problems(rule: Rule) -> list[str]:
             for child in node.get(k) or ():
                 walk(child)
 
-    walk(rule.logic)
+    for _, logic in rule.steps or [(rule.event_type, rule.logic)]:
+        walk(logic)
+    if rule.type not in ("single", "threshold", "value_count", "sequence"):
+        out.append(f"{rule.id}: unknown type {rule.type}")
+    elif rule.type != "single" and not (rule.by and rule.window > 0):
+        out.append(f"{rule.id}: {rule.type} needs a key and a window")
+    if rule.type == "sequence" and not 2 <= len(rule.steps) <= 8:
+        out.append(f"{rule.id}: a sequence has 2 to 8 steps")
+    if rule.type == "value_count" and not rule.value_field:
+        out.append(f"{rule.id}: value_count needs a field")
     return out
 
 
+def read_fields(rule: Rule) -> set[str]:
+    """Fields that a rule reads."""
+    found = {k for k in rule.by if k not in KEYS} | ({rule.value_field} if rule.value_field else set())
+
+    def walk(node: dict[str, Any]) -> None:
+        if "field" in node:
+            found.add(node["field"])
+        for k in ("all", "any", "none"):
+            for child in node.get(k) or ():
+                walk(child)
+
+    for _, logic in rule.steps or [(rule.event_type, rule.logic)]:
+        walk(logic)
+    return found
+
+
 def load(folder: str) -> list[Rule]:
     """Enabled rules of a folder of YAML documents, in the order of their paths; named lists are in `lists`."""
     import yaml
@@ -97,14 +127,14 @@ def load(folder: str) -> list[Rule]:
         if d.get("status", "enabled") != "enabled":
             continue
         mitre, by = d.get("mitre") or {}, d.get("by") or []
-        out.append(Rule(d["id"], d.get("event_type", ""), d.get("logic") or {}, d.get("type", "single"), d.get("level", 5), mitre.get("tactic", ""), mitre.get("technique", ""), [by] if isinstance(by, str) else by, d.get("count", 1), seconds(d["window"]) if "window" in d else 0, d.get("evidence") or []))
+        out.append(Rule(d["id"], d.get("event_type", ""), d.get("logic") or {}, d.get("type", "single"), d.get("level", 5), mitre.get("tactic", ""), mitre.get("technique", ""), [by] if isinstance(by, str) else by, d.get("count", 1), seconds(d.get("window", d.get("maxspan"))) if "window" in d or "maxspan" in d else 0, d.get("evidence") or [], d.get("field", ""), [(x["event_type"], x.get("logic") or {}) for x in d.get("steps") or ()]))
     return out
 
 
 def leaf(node: dict[str, Any], plain: Column | None = None) -> Column:
     """A condition. A field that is missing never matches, negated or not. plain: the deobfuscated command line, if there is such a column."""
     op, value, exact = node["operator"], node.get("value"), node.get("case_sensitive", False)
-    col = F.col(node["field"])
+    col = F.col(f"`{node['field']}`")
     text = col.cast("string") if exact else F.lower(col.cast("string"))
     want = lambda v: str(v) if exact else str(v).lower()
 
@@ -151,7 +181,7 @@ def leaf(node: dict[str, Any], plain: Column | None = None) -> Column:
 
     plain_text = text
     out = F.coalesce(tested(text, col), F.lit(False)) if op != "exists" else F.coalesce(tested(text, col), F.lit(not value))
-    if node["field"] == "command_line" and op not in NEGATED + ("exists", "entropy_greater_than"):
+    if node["field"] in COMMANDS and op not in NEGATED + ("exists", "entropy_greater_than"):
         decoded = C.deobfuscated(col) if plain is None else plain
         again = decoded if exact else F.lower(decoded)
         out = out | F.coalesce((decoded != col) & tested(again, decoded), F.lit(False))
@@ -182,11 +212,12 @@ def scan(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """event_id, rule_id, level, tactic, matched: one row for each rule that an event meets, by one pass over the events."""
     plain = None
     columns = events.columns
-    if "command_line" in columns:  # worked out once for all rules
-        events, plain = events.withColumn("_plain", C.deobfuscated(F.col("command_line"))), F.col("_plain")
+    command = next((c for c in COMMANDS if c in columns), None)
+    if command:  # worked out once for all rules
+        events, plain = events.withColumn("_plain", C.deobfuscated(F.col(f"`{command}`"))), F.col("_plain")
     hits = [F.when((F.col("event_type") == r.event_type) & condition(r.logic, plain), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.level).alias("level"), F.lit(r.tactic).alias("tactic"), F.array_join(trace(r.logic, plain), " & ").alias("matched"))) for r in rules if r.type == "single"]
     # outer, and filtered behind: a filter in front, as the optimizer infers it of explode, works all rules out once more
-    return events.select("*", F.explode_outer(F.array_compact(F.array(*hits))).alias("hit")).where("hit is not null").select(*columns, "hit.*")
+    return events.select("*", F.explode_outer(F.array_compact(F.array(*hits))).alias("hit")).where("hit is not null").select(*[F.col(f"`{c}`") for c in columns], "hit.*")
 
 
 def coverage(spark, rules: list[Rule]) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 #: Shape of one wire event; never inferred.
 WIRE = (
     "event struct<id:string,category:string,type:string,timestamp:string>, host struct<id:string,hostname:string>, user struct<name:string,domain:string>, "
-    "process struct<pid:bigint,name:string,executable:string,command_line:string,parent:struct<pid:bigint,name:string,executable:string>,hash:struct<sha256:string>>, "
-    "network struct<direction:string,protocol:string,destination_ip:string,destination_port:bigint,initiated:boolean>, file struct<operation:string,path:string,previous_path:string>, "
-    "registry struct<operation:string,key_path:string,value_name:string,value_data:string>, dns struct<query_name:string,query_results:string>, script_block struct<text:string,path:string>"
+    "process struct<entity_id:string,pid:bigint,name:string,executable:string,command_line:string,parent:struct<pid:bigint,name:string,executable:string>,hash:struct<sha256:string>,sha256:string>, "
+    "network struct<direction:string,protocol:string,destination_ip:string,destination_port:bigint,dst_ip:string,dst_port:bigint,initiated:boolean>, file struct<operation:string,path:string,previous_path:string>, "
+    "registry struct<operation:string,key_path:string,key:string,target_object:string,value_name:string,value_data:string>, dns struct<query_name:string,query_results:string>, "
+    "image_load struct<path:string,image_loaded:string,is_signed:boolean,signed:boolean>, image struct<path:string,image_loaded:string,is_signed:boolean,signed:boolean>, "
+    "process_access struct<target:struct<pid:bigint,executable:string>,granted_access:string,call_trace:string>, "
+    "remote_thread struct<target:struct<pid:bigint,executable:string>,start_module:string,start_function:string>, script_block struct<text:string,path:string>"
 )
 
 _CASE = lambda key, values: f"case {key} " + " ".join(f"when {i} then {v}" for i, v in enumerate(values)) + " end"
@@ -61,6 +64,8 @@ def canonical(events: DataFrame) -> DataFrame:
         .when(category == "registry", F.when(F.lower("registry.operation").isin("add_key", "delete_key", "rename_key"), F.concat(F.lit("registry_"), F.lower("registry.operation"))).otherwise("registry_write"))
         .when(category == "dns", "dns_query")
         .when(category == "script_block", "script_block")
+        .when(category.isin("image_load", "image"), "image_load")
+        .when(category.isin("process_access", "remote_thread"), category)
         .when(kind.isin("start", "create"), "process_create")
         .when(kind.isin("stop", "terminate"), "process_terminate")
         .otherwise(F.concat(F.lit("process_"), kind))
@@ -77,10 +82,25 @@ def canonical(events: DataFrame) -> DataFrame:
         F.col("process.command_line").alias("command_line"),
         F.col("process.parent.pid").alias("ppid"),
         F.coalesce(some("process.parent.name"), base("process.parent.executable")).alias("parent_name"),
-        F.col("network.destination_ip").alias("destination_ip"),
-        F.col("network.destination_port").alias("destination_port"),
+        some("network.destination_ip", "network.dst_ip").alias("destination_ip"),
+        F.coalesce("network.destination_port", "network.dst_port").alias("destination_port"),
         F.coalesce(F.lower("network.direction"), F.when(F.coalesce(F.col("network.initiated"), F.lit(True)), "outbound").otherwise("inbound")).alias("direction"),
         F.coalesce("file.path", F.when(category == "process", F.col("process.executable"))).alias("path"),
         F.col("file.previous_path").alias("previous_path"),
         F.rtrim(F.lower("dns.query_name"), F.lit(".")).alias("query_name"),
+        F.col("process.entity_id").alias("process_guid"),
+        F.when(some("user.name", "user.name").isNotNull(), F.concat_ws("\\", some("user.domain", "user.domain"), "user.name")).alias("user"),
+        F.coalesce("process.hash.sha256", "process.sha256").alias("sha256"),
+        some("registry.key_path", "registry.key", "registry.target_object").alias("key_path"),
+        F.col("registry.value_name").alias("value_name"),
+        F.col("registry.value_data").alias("value_data"),
+        some("image_load.path", "image_load.image_loaded", "image.path", "image.image_loaded").alias("image_path"),
+        F.coalesce("image_load.is_signed", "image_load.signed", "image.is_signed", "image.signed").alias("is_signed"),
+        F.coalesce("process_access.target.pid", "remote_thread.target.pid").alias("target_pid"),
+        F.coalesce(base("process_access.target.executable"), base("remote_thread.target.executable")).alias("target_name"),
+        F.when(F.col("process_access.granted_access").rlike("^0[xX][0-9A-Fa-f]{1,15}$"), F.conv(F.substr("process_access.granted_access", F.lit(3)), 16, 10).cast("bigint")).alias("access_mask"),
+        F.col("process_access.call_trace").alias("call_trace"),
+        F.col("remote_thread.start_module").alias("start_module"),
+        F.col("remote_thread.start_function").alias("start_function"),
+        F.col("script_block.text").alias("script_text"),
     )

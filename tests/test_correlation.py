@@ -185,3 +185,46 @@ def test_features(spark):
     assert set(got[1]) == {"cmd_missing", "name_missing", "parent_missing", "path_class=none", "bin=other", "parent_bin=missing", "role=missing", "parent_role=missing", "pair=missing>missing"}
     assert got[2]["name_double_extension"] == 1
     assert len(X.names()) == len(set(X.names())) == 540 and all(set(g) <= set(X.names()) for g in got)
+
+
+def test_rules_of_all_types_over_wire_events(spark, tmp_path):
+    from emberline.operators import detectors
+    from emberline.plans import fields
+    from emberline.plans import rules as R
+    from emberline.sources import telemetry
+
+    (tmp_path / "rules").mkdir()
+    docs = {
+        "single": "id: S\nevent_type: process_access\nlevel: 12\nlogic:\n  all:\n    - {field: target.name, operator: equals, value: LSASS.exe}\n    - {field: process_access.can_read_memory, operator: equals, value: true}\n    - {field: process.command_line, operator: contains, value: whoami}\n",
+        "dropped": "id: D\nevent_type: process_create\nlogic:\n  all:\n    - {field: process.image_writer_name, operator: equals, value: winword.exe}\n    - {field: process.image_age_seconds, operator: less_than, value: 60}\n    - {field: unknown.field, operator: exists, value: false}\n",
+        "count": "id: V\ntype: value_count\nby: parent\nevent_type: process_create\nfield: process.name\ncount: 3\nwindow: 60s\nlogic:\n  all:\n    - {field: process.name, operator: ends_with, value: .exe}\n",
+        "threshold": "id: T\ntype: threshold\nby: process\nevent_type: file_rename\ncount: 3\nwindow: 30s\nlogic:\n  all:\n    - {field: file.extension_changed, operator: equals, value: true}\n",
+        "sequence": "id: Q\ntype: sequence\nby: process_tree\nmaxspan: 5m\nsteps:\n  - event_type: file_create\n    logic: {all: [{field: file.path_class, operator: equals, value: temp}]}\n  - event_type: registry_write\n    logic: {any: [{field: registry.key_path, operator: contains, value: '\\Run'}]}\n",
+    }
+    for name, text in docs.items():
+        (tmp_path / "rules" / f"{name}.yaml").write_text(text)
+    rules = R.load(str(tmp_path / "rules"))
+    assert len(rules) == 5 and not [p for r in rules for p in R.problems(r)]
+    lines = []
+
+    def event(t, category, kind, pid, image, parent=(None, None), **more):
+        lines.append(json.dumps({"event": {"id": f"e{t}", "category": category, "type": kind, "timestamp": f"2024-01-01T00:{t // 60:02d}:{t % 60:02d}Z"}, "host": {"id": "H"}, "process": {"pid": pid, "executable": image, "command_line": more.pop("cmd", None), "parent": {"pid": parent[0], "executable": parent[1]}}, **more}))
+
+    event(1, "process", "start", 10, "C:\\o\\winword.exe", (4, "C:\\Windows\\explorer.exe"))
+    event(2, "file", "create", 10, "C:\\o\\winword.exe", file={"path": "C:\\Temp\\a.exe"})
+    event(3, "process", "start", 11, "C:\\Temp\\A.exe", (10, "C:\\o\\winword.exe"))
+    event(4, "registry", "set_value", 11, "C:\\Temp\\a.exe", registry={"key": "HKCU\\CurrentVersion\\Run"})
+    event(5, "process", "start", 12, "C:\\w\\net.exe", (11, "C:\\Temp\\a.exe"))
+    event(6, "process", "start", 13, "C:\\w\\whoami.exe", (11, "C:\\Temp\\a.exe"))
+    event(7, "process", "start", 14, "C:\\w\\arp.exe", (11, "C:\\Temp\\a.exe"))
+    event(8, "process_access", "access", 11, "C:\\Temp\\a.exe", cmd="w^hoami", process_access={"target": {"pid": 1, "executable": "C:\\w\\lsass.exe"}, "granted_access": "0x1410"})
+    for t in (9, 10, 39):
+        event(t, "file", "rename", 11, "C:\\Temp\\a.exe", file={"operation": "rename", "path": "C:\\d\\x.locked", "previous_path": "C:\\d\\x.doc"})
+    (tmp_path / "e.ndjson").write_text("\n".join(lines))
+    events = fields.derive(telemetry.canonical(telemetry.ndjson(spark, str(tmp_path / "e.ndjson"))), rules)
+    assert events.count() == len(lines)
+    assert sorted((r.rule_id, r.event_id) for r in R.scan(events, rules).select("rule_id", "event_id").collect()) == [("D", "e3"), ("S", "e8")]
+    fired = sorted((r.rule_id, r.event_id) for rule in rules if rule.type != "single" for r in detectors.detect(events, rule).collect())
+    assert fired == [("Q", "e4"), ("T", "e39"), ("V", "e7")]
+    tree = {r.event_id: (r.tree_root, r.tree_root_name) for r in events.select("event_id", "tree_root", "tree_root_name").collect()}
+    assert tree["e7"] == (10, "winword.exe") and tree["e1"] == (10, "winword.exe")
