@@ -149,6 +149,16 @@ ORACLES["sequence_match"] = ORACLES["multi_rule_scan"].split(", hits as")[0] + _
     f"else list_concat(list_append({_LIVE}[1:{_AT} - 1], {{'a': {_LIVE}[{_AT}].a, 'n': 2}}), {_LIVE}[{_AT} + 1:]) end as st, x.step = 2 and coalesce({_AT}, 0) > 0 as fired",
 )
 
+_HALF = 3_600 * S.SECOND
+ORACLES["risk_meter"] = ORACLES["multi_rule_scan"].split("select event_id, rule_id, cast(level")[0].rstrip() + (
+    ", ev as (select host_id, us, event_id, max(level) as level, arg_max(rule_id, level) as rule_id from hits group by all), " + _INDEXED + ", f as (with recursive f as ("
+    "select h.host_id, 0::bigint as i, 0::bigint as event_id, 0::bigint as score, null::bigint as seen, []::struct(r varchar, u bigint)[] as rules, false as latched, false as fired from (select distinct host_id from ix) h union all "
+    "select host_id, i, event_id, score, us, case when recent then rules else list_append(list_filter(rules, lambda x: x.r <> rule_id), {'r': rule_id, 'u': us}) end, case when recent then latched else (latched and score >= 37.5) or score >= 75 end, not recent and score >= 75 and not latched from ("
+    "select host_id, i, event_id, us, rule_id, rules, latched, recent, case when recent then decayed else least(100, decayed + case level when 8 then 15 when 10 then 30 when 12 then 45 else 55 end) end::bigint as score from ("
+    f"select x.host_id, x.i, x.event_id, x.us, x.rule_id, x.level, f.rules, f.latched, len(list_filter(f.rules, lambda r: r.r = x.rule_id and r.u >= x.us - {_HALF})) > 0 as recent, case when x.us > f.seen then floor(f.score * 0.5::double ** ((x.us - f.seen) / {_HALF}::double)) else f.score end as decayed "
+    "from f join ix x on x.host_id = f.host_id and x.i = f.i + 1) a) b) select * from f) select event_id, host_id, score from f where fired"
+)
+
 # ---- scalar functions and features
 
 _ENT = "(-list_sum(list_transform(list_distinct(string_split({0}, '')), lambda c: len(list_filter(string_split({0}, ''), lambda x: x = c)) / length({0})::double * log2(len(list_filter(string_split({0}, ''), lambda x: x = c)) / length({0})::double))))"
