@@ -1,12 +1,16 @@
-"""Line deduplication by winnowing.
+"""Line deduplication by fingerprints of runs of lines.
 
-Lines that are blank do not count. Hashes of SHINGLE consecutive lines are winnowed: each window of WINDOW of them selects its minimum (the last,
-of equal ones), so any run of SHINGLE + WINDOW - 1 lines that repeats shares a fingerprint with its first occurrence. Every fingerprint is held
-against its earliest occurrence, in the order of document id, hash of the text and line; the match is extended line by line both ways, and
-the later run is deleted. Lines are equal if they are without white space at their ends.
+A run of lines that occurs earlier is deleted if it is long: BYTES of UTF-8 or more, or LINES lines or more. So one long line counts, and a chance
+repeat of one or two short ones does not. Earlier is meant in the order of document id, hash of the text and line. Lines that are blank do not
+count; lines are equal if they are without white space at their ends.
 
-Fingerprints are joined with one earliest occurrence each, not with one another, so a run that a third of all documents have costs each of them
-one row. Null and empty texts have no lines. Rows that repeat id and text are one document and stay as many.
+Every line gives the shortest long run that begins with it and the shortest that ends with it; their hashes are the fingerprints, and the window of
+winnowing is one, as all of them are kept. Any line of a long run that repeats lies in such a shortest run that lies within, and what is the
+shortest is told from the run's own lines alone. So a line goes exactly if one of these around it has an earlier occurrence, whichever document
+that is in, and no match is extended.
+
+What is handed on is the first occurrence of each fingerprint, found by partial aggregation, and never a join on a fingerprint: a line that a
+third of all documents have is no hot key. Null and empty texts have no lines. Rows that repeat id and text are one document and stay as many.
 """
 
 from __future__ import annotations
@@ -17,112 +21,92 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, keyed, lists, mix, prepare, rows_from, table, with_columns
+from .common import keyed, mix, prepare, ragged, rows_from, table, with_columns
 from .substrings import content
 
-SHINGLE, WINDOW = 3, 2
-
-
-def hashed(texts: list[str]) -> list[np.ndarray]:
-    """Hashes of the lines of texts that are not blank."""
-    found = [[y for x in t.split("\n") if (y := x.strip())] for t in texts]
-    flat = [y.encode("utf-8", "surrogatepass") for x in found for y in x]
-    sizes = np.array([len(x) for x in flat], dtype=np.int64)
-    h = content(np.frombuffer(b"".join(flat), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes)
-    return np.split(h, np.cumsum([len(x) for x in found])[:-1])
-
-
-def winnowed(h: np.ndarray, shingle: int = SHINGLE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and values of the fingerprints of a document's line hashes."""
-    n = len(h) - shingle + 1
-    if n < 1:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    value = np.zeros(n, dtype=np.uint64)
-    for i in range(shingle):
-        value = mix(value + h[i : i + n])
-    windows = np.lib.stride_tricks.sliding_window_view(value, min(window, n))
-    at = np.arange(len(windows)) + windows.shape[1] - 1 - windows[:, ::-1].argmin(axis=1)
-    at = np.unique(at)
-    return at, value[at]
-
-
-def extended(own: np.ndarray, other: np.ndarray, matches: list[tuple[int, int]], shingle: int = SHINGLE) -> list[tuple[int, int]]:
-    """First and last lines of own of the maximal runs around matches (a line of own, one of other)."""
-    out, reached = [], {}
-    for a, b in sorted(matches):
-        if reached.get(a - b, -1) >= a:
-            continue
-        first, last = a, a + shingle - 1
-        while first > 0 and b - (a - first) > 0 and own[first - 1] == other[b - (a - first) - 1]:
-            first -= 1
-        while last + 1 < len(own) and b + last + 1 - a < len(other) and own[last + 1] == other[b + last + 1 - a]:
-            last += 1
-        reached[a - b] = last
-        out.append((first, last))
-    return out
-
-
-def runs(docs: DataFrame, shingle: int = SHINGLE, window: int = WINDOW) -> DataFrame:
-    """_k1, _k2 and runs (array of first and last line that goes, blank lines not counted) of documents of a keyed frame that lose lines."""
+#: A repeated run goes from so many bytes (of its lines, without white space at their ends) or from so many lines.
+BYTES, LINES = 40, 3
+
+
+def split(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Lines of texts that are not blank, flat, with their sizes, and how many each text has."""
+    found = [[y.encode("utf-8", "surrogatepass") for x in t.split("\n") if (y := x.strip())] for t in texts]
+    flat = [y for x in found for y in x]
+    return flat, np.array([len(x) for x in flat], dtype=np.int64), np.array([len(x) for x in found], dtype=np.int64)
+
+
+def shortest(sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First line and number of lines of the shortest long runs that begin or end with a line, each once; runs stay within a text."""
+    n = len(sizes)
+    line, total = np.arange(n), np.concatenate([[0], np.cumsum(sizes)])
+    before = ragged(np.zeros(len(counts), dtype=np.int64), counts)
+    left = np.repeat(counts, counts) - before
+    ahead, back = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for k in range(LINES, 0, -1):
+        a, b = line[left >= k], line[before + 1 >= k]
+        ahead[a[(total[a + k] - total[a] >= BYTES) | (k == LINES)]] = k
+        back[b[(total[b + 1] - total[b + 1 - k] >= BYTES) | (k == LINES)]] = k
+    begins = line - back + 1
+    other = (back > 0) & (ahead[np.minimum(begins, n - 1)] != back)
+    return np.concatenate([line[ahead > 0], begins[other]]), np.concatenate([ahead[ahead > 0], back[other]])
+
+
+def places(counts: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text that each run is in, and a number that tells it from the text's other runs and rises with its first line."""
+    text = np.repeat(np.arange(len(counts)), counts)[starts]
+    return text, (starts - (np.cumsum(counts) - counts)[text]) * LINES + lengths - 1
+
+
+def firsts(docs: DataFrame) -> DataFrame:
+    """_k1, _k2 and _first (array of the places of runs that no earlier run is equal to) of documents of a keyed frame."""
     prepare(docs.sparkSession)
 
-    def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        found = hashed([x or "" for x in batch.column(0).to_pylist()])
-        prints = [winnowed(h, shingle, window) for h in found]
-        counts = np.array([len(p[0]) for p in prints])
-        flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        return {
-            "_k1": batch.column(1),
-            "_k2": batch.column(2),
-            "h": lists(flat([h.view(np.int64) for h in found], np.int64), np.array([len(h) for h in found]), pa.int64()),
-            "at": lists(flat([p[0] for p in prints], np.int32), counts, pa.int32()),
-            "print": lists(flat([p[1].view(np.int64) for p in prints], np.int64), counts, pa.int64()),
-        }
-
-    schema = T._parse_datatype_string("_k1 long, _k2 long, h array<long>, at array<int>, print array<long>")
-    lines = checkpointed(rows_from(docs.select("text", "_k1", "_k2"), kernel, schema, "text", 1_000_000).where(F.size("print") > 0))
-    prints = lines.select("_k1", "_k2", F.explode(F.arrays_zip("at", "print")).alias("p")).select("_k1", "_k2", "p.at", "p.print")
-    first = prints.groupBy("print").agg(F.min(F.struct("_k1", "_k2", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("print", F.col("f._k1").alias("f1"), F.col("f._k2").alias("f2"), F.col("f.at").alias("f_at"))
-    later = prints.join(first, "print").where("not (_k1 = f1 and _k2 = f2 and at = f_at)")
-    matched = later.groupBy("_k1", "_k2", "f1", "f2").agg(F.collect_set(F.struct("at", "f_at")).alias("m"))
-    arrays = lines.groupBy("_k1", "_k2").agg(F.first("h").alias("h"))
-    both = matched.join(arrays, ["_k1", "_k2"]).join(arrays.select(F.col("_k1").alias("f1"), F.col("_k2").alias("f2"), F.col("h").alias("f_h")), ["f1", "f2"])
-
-    def extend(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        k1, k2, out = [], [], []
-        for a, b, m, h, f in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), batch.column(3), batch.column(4), strict=True):
-            found = extended(h.values.to_numpy(), f.values.to_numpy(), [(x["at"], x["f_at"]) for x in m], shingle)
-            k1.append(a)
-            k2.append(b)
-            out.append([{"first": x, "last": y} for x, y in found])
-        return {"_k1": pa.array(k1, pa.int64()), "_k2": pa.array(k2, pa.int64()), "r": pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))}
-
-    made = rows_from(both.select("_k1", "_k2", "m", "h", "f_h", F.lit("").alias("_")), extend, T._parse_datatype_string("_k1 long, _k2 long, r array<struct<first:int,last:int>>"), "_")
-    return made.groupBy("_k1", "_k2").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("r")))).alias("runs"))
-
-
-def remove(df: DataFrame, shingle: int = SHINGLE, window: int = WINDOW) -> DataFrame:
+    def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
+        flat, sizes, counts = split([x or "" for x in batch.column(0).to_pylist()])
+        starts, lengths = shortest(sizes, counts)
+        if not len(starts):
+            return None
+        h = content(np.frombuffer(b"".join(flat), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes)
+        print_ = np.zeros(len(starts), dtype=np.uint64)
+        for k in range(LINES):
+            more = lengths > k
+            print_[more] = mix(print_[more] + h[starts[more] + k])
+        text, at = places(counts, starts, lengths)
+        return {"_k1": batch.column(1).take(pa.array(text)), "_k2": batch.column(2).take(pa.array(text)), "at": pa.array(at.astype(np.int32)), "print": pa.array(print_.view(np.int64))}
+
+    prints = rows_from(docs.select("text", "_k1", "_k2"), kernel, T._parse_datatype_string("_k1 long, _k2 long, at int, print long"), "text")
+    first = prints.groupBy("print").agg(F.min(F.struct("_k1", "_k2", "at")).alias("f")).select("f.*")
+    return first.groupBy("_k1", "_k2").agg(F.collect_list("at").alias("_first"))
+
+
+def remove(df: DataFrame) -> DataFrame:
     """Adds kept (string: the text without its later repeated runs, null as it was), n_lines, n_removed and n_runs; such columns are replaced."""
     docs = keyed(df.drop("kept", "n_lines", "n_removed", "n_runs"))
-    joined = docs.join(runs(docs, shingle, window).withColumnRenamed("runs", "_runs"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    joined = docs.join(firsts(docs), ["_k1", "_k2"], "left").drop("_k1", "_k2")
 
     def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        kept, lines, removed, n_runs = [], [], [], []
-        for text, found in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("_runs")).to_pylist(), strict=True):
-            parts = (text or "").split("\n")
-            real = [i for i, x in enumerate(parts) if x.strip()]
-            gone: set[int] = set()
-            for r in found or ():
-                gone.update(real[r["first"] : r["last"] + 1])
-            order = [i in gone for i in real]
-            n_runs.append(sum(a and not b for a, b in zip(order, [False, *order], strict=False)))
-            kept.append(text if not gone else "\n".join(x for i, x in enumerate(parts) if i not in gone))
-            lines.append(len(real))
-            removed.append(len(gone))
-        return {"kept": pa.array(kept, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_runs": pa.array(n_runs, pa.int64())}
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        known = batch.column(batch.schema.get_field_index("_first")).to_pylist()
+        _, sizes, counts = split([x or "" for x in texts])
+        starts, lengths = shortest(sizes, counts)
+        text, at = places(counts, starts, lengths)
+        own = np.array([i << 32 | x for i, found in enumerate(known) for x in found or ()], dtype=np.int64)
+        later = ~np.isin(text << 32 | at, own)
+        change = np.zeros(len(sizes) + 1, dtype=np.int64)
+        np.add.at(change, starts[later], 1)
+        np.add.at(change, (starts + lengths)[later], -1)
+        kept, removed, n_runs = [], [], []
+        for t, order in zip(texts, np.split(np.cumsum(change)[:-1] > 0, np.cumsum(counts)[:-1]), strict=True):
+            removed.append(int(order.sum()))
+            n_runs.append(int((np.diff(order.astype(np.int8), prepend=0) > 0).sum()))
+            if removed[-1]:
+                flags = iter(order.tolist())
+                t = "\n".join(x for x in t.split("\n") if not (x.strip() and next(flags)))
+            kept.append(t)
+        return {"kept": pa.array(kept, pa.string()), "n_lines": pa.array(counts), "n_removed": pa.array(removed, pa.int64()), "n_runs": pa.array(n_runs, pa.int64())}
 
     fields = [T.StructField("kept", T.StringType()), *(T.StructField(k, T.LongType()) for k in ("n_lines", "n_removed", "n_runs"))]
-    return with_columns(joined, kernel, fields, "text").drop("_runs")
+    return with_columns(joined, kernel, fields, "text").drop("_first")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

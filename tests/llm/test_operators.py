@@ -200,6 +200,13 @@ def test_line_dedup(spark, odd, empty):
     assert linededup.remove(odd).count() == odd.count() and linededup.remove(empty).count() == 0
 
 
+def test_long_lines_repeat_alone(spark):
+    long = "one line of more than forty bytes that is copied"
+    rows = [(0, long), (1, long), (2, f"p\n{long}\nq"), (3, "u\nv\nw"), (4, "k\nu\nv\nw\nl"), (5, "u\nv"), (6, "u\nv")]
+    got = linededup.remove(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.kept for r in got] == [long, "", "p\nq", "u\nv\nw", "k\nl", "u\nv", "u\nv"]
+
+
 @pytest.fixture(scope="module")
 def vectors_frame(spark):
     rng = np.random.default_rng(3)
