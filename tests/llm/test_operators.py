@@ -207,6 +207,13 @@ def test_long_lines_repeat_alone(spark):
     assert [r.kept for r in got] == [long, "", "p\nq", "u\nv\nw", "k\nl", "u\nv", "u\nv"]
 
 
+def test_ends_of_a_run_within_a_longer_copy(spark):
+    x = [f"{c} 5" for c in "vwxyz"]  # of these shingles, winnowing by 3 lines and 2 shingles keeps the middle one alone
+    rows = [(1, "\n".join(["p", *x[1:4], "q"])), (2, "\n".join(x)), (3, "\n".join(["r", *x, "s"]))]
+    got = linededup.remove(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.kept for r in got] == [rows[0][1], "v 5\nz 5", "r\ns"]
+
+
 @pytest.fixture(scope="module")
 def vectors_frame(spark):
     rng = np.random.default_rng(3)
