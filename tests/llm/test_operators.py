@@ -264,6 +264,16 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in language.predict(odd, none).collect()} == {"und"} and language.predict(empty, model).count() == 0
 
 
+def test_languages_known_from_set_aside_texts_alone(spark):
+    ids = spark.range(2000).select("id", (F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(language.ASIDE)) == 0).alias("aside")).collect()
+    aside, others = [r.id for r in ids if r.aside], [r.id for r in ids if not r.aside]
+    rows = [(i, "the quick brown fox jumps over the lazy dog and runs", "en") for i in [*aside[1:9], *others[:30]]]
+    rows.append((aside[0], "szybki brązowy lis przeskoczył nad leniwym psem", "pl"))
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == ["en", "pl"]
+    assert model.predict(["leniwym psem przeskoczył", "the lazy dog"])[0] == ["pl", "en"]
+
+
 @pytest.mark.parametrize(("module", "label", "mod"), [(toxicity, "toxic", 3), (quality, "quality", 4)])
 def test_classifiers(spark, odd, empty, module, label, mod):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
