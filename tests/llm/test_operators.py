@@ -274,6 +274,24 @@ def test_languages_known_from_set_aside_texts_alone(spark):
     assert model.predict(["leniwym psem przeskoczył", "the lazy dog"])[0] == ["pl", "en"]
 
 
+def test_languages_that_share_a_script(spark):
+    han = [chr(0x4E00 + 37 * i) for i in range(400)]  # one class modulo 37
+    rng = random.Random(2)
+    texts = {"xa": han[:200], "xb": han[200:], "cs": ["čas", "tečka", "oči"], "fr": ["èas", "teèka", "oèi"]}
+    rows = [(lang, " ".join("".join(rng.choices(pool, k=3)) if lang < "y" and lang > "x" else rng.choice(pool) for _ in range(30))) for lang, pool in texts.items() for _ in range(60)]
+    frame = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.fit(frame, F.col("doc_id") % 2 == 0)
+    assert model.predict([t for _, t in rows[1::2]])[0] == [lang for lang, _ in rows[1::2]]
+
+
+def test_models_have_a_bound_that_grows(spark, monkeypatch):
+    rows = [("en", i, 0, 1 + 7 * (i < 5), 1) for i in range(40)] + [("fr", 1, 0, 1, 1)]
+    counts = spark.createDataFrame(rows, "lang string, head int, rest long, n long, held long")
+    assert language._bounded(counts).count() == 41 and language.most_grams(1e10) > language.most_grams(1e8) > 2**24
+    monkeypatch.setattr(language, "most_grams", lambda n: 6)
+    assert sorted(tuple(r) for r in language._bounded(counts).collect()) == sorted(r for r in rows if r[0] == "fr" or r[3] == 8)
+
+
 @pytest.mark.parametrize(("module", "label", "mod"), [(toxicity, "toxic", 3), (quality, "quality", 4)])
 def test_classifiers(spark, odd, empty, module, label, mod):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
