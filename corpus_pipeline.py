@@ -15,11 +15,13 @@ from emberline.llm import jaccard, linededup, packing, substrings, toxicity
 from emberline.llm.common import fold, prepare, table
 
 ORACLE_SQL = None
+#: A character that is no white space; line dedup leaves blank lines where they are.
+NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 
 
 def _with_text(before: DataFrame, kept: DataFrame) -> DataFrame:
     """Puts the kept text in place of the text, and drops documents that lost all of it."""
-    gone = (F.trim(F.coalesce("kept", F.lit(""))) == "") & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    gone = ~F.coalesce("kept", F.lit("")).rlike(NOT_BLANK) & F.coalesce("text", F.lit("")).rlike(NOT_BLANK)
     left = kept.where(~gone).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
     if "n_chars" in before.columns:
         left = left.withColumn("n_chars", F.length("text").cast(before.schema["n_chars"].dataType))

@@ -214,6 +214,53 @@ def test_ends_of_a_run_within_a_longer_copy(spark):
     assert [r.kept for r in got] == [rows[0][1], "v 5\nz 5", "r\ns"]
 
 
+def lines_by_hand(rows):
+    """Kept text of rows, from all pairs of runs: a line goes if it lies in a long run that occurs earlier."""
+    lines = {i: [x.strip() for x in (t or "").split("\n") if x.strip()] for i, t in rows}
+    out = []
+    for i, t in rows:
+        gone, own = set(), lines[i]
+        for j in (x for x in lines if x <= i):
+            for a in range(len(own)):
+                for b in range(len(lines[j]) if j < i else a):
+                    n = 0
+                    while a + n < len(own) and b + n < len(lines[j]) and own[a + n] == lines[j][b + n]:
+                        n += 1
+                        if n >= 3 or len("".join(own[a : a + n]).encode()) >= 40:
+                            gone.update(range(a, a + n))
+        at, left = 0, []
+        for x in (t or "").split("\n"):
+            if not x.strip() or at not in gone:
+                left.append(x)
+            at += bool(x.strip())
+        out.append((i, t if not gone else "\n".join(left), len(own), len(gone), sum(k in gone and k - 1 not in gone for k in range(len(own)))))
+    return out
+
+
+def line_rows(n):
+    """Texts of few distinct lines of all lengths, so that runs repeat in many ways."""
+    rng = random.Random(5)
+    pool = ["}", "a", "return 0", "é" * 12, "x" * 19, "y" * 20, "z" * 21, "w" * 39, "v" * 40, "漢字" * 9, "ein langer Satz, der allein schon zählt, weil er lang ist"]
+    rows = []
+    for i in range(n):
+        own = [f"{rng.choice(('', ' ', chr(9)))}{rng.choice(pool) if rng.random() < 0.7 else f'own {i} {k}'}" for k in range(rng.randint(0, 9))]
+        if i > 3 and rng.random() < 0.6:
+            k = rng.randrange(len(own) + 1)
+            own[k:k] = rng.choice(rows)[1].split("\n")[rng.randint(0, 3) :][: rng.randint(1, 6)]
+        rows.append((i, "\n".join(x for y in own for x in ([y, " "] if rng.random() < 0.1 else [y]))))
+    return [*rows, (n, "")]
+
+
+def test_line_dedup_is_exact(spark):
+    long = "one line of more than forty bytes that is copied"
+    x = [f"l{i}" for i in range(5)]
+    rows = [(0, long), (1, f"p\n{long}\nq"), (2, "\n".join(["p", *x[1:4], "q"])), (3, "\n".join(x)), (4, "\n".join(x)), (5, "l0\nl1"), (6, "l0\nl1"), (7, f"u\n{long}\nq\nv")]
+    for given_rows in (rows, line_rows(150)):
+        got = linededup.remove(spark.createDataFrame(given_rows, "doc_id long, text string").repartition(3)).orderBy("doc_id")
+        assert [tuple(r) for r in got.select("doc_id", "kept", "n_lines", "n_removed", "n_runs").collect()] == lines_by_hand(given_rows)
+    assert [k for _, k, *_ in lines_by_hand(rows)] == [long, "p\nq", "p\nl1\nl2\nl3\nq", "l0\nl4", "", "l0\nl1", "l0\nl1", "u\nv"]
+
+
 @pytest.fixture(scope="module")
 def vectors_frame(spark):
     rng = np.random.default_rng(3)
@@ -319,3 +366,55 @@ def test_pipeline(spark):
     for name, stage in corpus.STAGES[1:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns, name
     assert corpus.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def pack_by_hand(rows):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    return {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+
+
+def test_pipeline_rows_by_hand(spark):
+    corpus = pytest.importorskip("corpus_pipeline")
+    shared, long = prose(80), "one line of more than forty bytes that is copied"
+    rows = line_rows(40)
+    rows += [(100, prose(60)), (101, f"a b\n{shared} c"), (102, f"{prose(60)} {shared} {prose(60)}"), (103, f"\n{long}\n\n"), (104, f" \n\n{long}\n"), (105, long), (106, None), (107, " \n")]
+    rows += [(110, f"{rows[41][1]} and one more"), (111, f"{rows[41][1]} and two more")]
+    frame = lambda x: spark.createDataFrame([(i, t, len(t or "")) for i, t in x], "doc_id long, text string, n_chars int").repartition(3)
+    full = lambda df: sorted(((r.doc_id, r.text, r.n_chars) for r in df.collect()), key=repr)
+    sized = lambda x: sorted(((i, t, None if t is None else len(t)) for i, t in x), key=repr)
+    left = lambda before, kept: [(i, None if t is None else k) for (i, t), k in zip(before, kept, strict=True) if (k or "").strip() or not (t or "").strip()]
+
+    lined = left(rows, [k for _, k, *_ in lines_by_hand(rows)])
+    assert full(corpus.drop_lines(spark, frame(rows), "")) == sized(lined)
+    assert not {104, 105} & {i for i, _ in lined} and {103, 106, 107} <= {i for i, _ in lined}
+
+    component = {i: (n, c) for i, n, c in by_hand(lined)}
+    single = [(i, t) for i, t in lined if not component[i][0] or component[i][1] == i]
+    assert [(i, t) for i, t, _ in full(corpus.drop_near_duplicates(spark, frame(lined), ""))] == sorted(single, key=repr) and len(single) < len(lined)
+
+    cut = left(single, [x.decode("utf-8", "ignore") for x in removed_by_hand([(t or "").encode() for _, t in single], substrings.LENGTH)])
+    assert full(corpus.drop_passages(spark, frame(single), "")) == sized(cut) and cut != single
+
+    parts = defaultdict(list)
+    for r in corpus.pack(spark, frame(cut), "").collect():
+        parts[r.doc_id].append((r.start, np.frombuffer(r.tokens, "<u4").tolist()))
+    assert {i: [x for _, p in sorted(found) for x in p] for i, found in parts.items()} == pack_by_hand(cut)
+
+
+def test_pipeline_chains_its_stages(spark):
+    corpus = pytest.importorskip("corpus_pipeline")
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = corpus.drop_toxic(spark, docs, folder)
+    rows = sorted((r.doc_id, r.text) for r in clean.collect())
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    assert rows == sorted((r.doc_id, r.text) for r in toxicity.score(docs, model).collect() if not r.predicted)
+    rows = [(i, k) for (i, t), (_, k, *_) in zip(rows, lines_by_hand(rows), strict=True) if k.strip() or not t.strip()]
+    component = {i: (n, c) for i, n, c in by_hand(rows)}
+    rows = [(i, t) for i, t in rows if not component[i][0] or component[i][1] == i]
+    kept = [x.decode("utf-8", "ignore") for x in removed_by_hand([t.encode() for _, t in rows], substrings.LENGTH)]
+    want = pack_by_hand([(i, k) for (i, t), k in zip(rows, kept, strict=True) if k.strip() or not t.strip()])
+    parts = defaultdict(list)
+    for r in corpus.run(spark, folder).collect():
+        parts[r.doc_id].append((r.start, np.frombuffer(r.tokens, "<u4").tolist()))
+    assert {i: [x for _, p in sorted(found) for x in p] for i, found in parts.items()} == want
