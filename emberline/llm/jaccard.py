@@ -2,10 +2,10 @@
 
 Documents with equal sets count once. A small set lists its subsets of the fixed sizes that a link with another small set must share; sets that
 share one are linked by their sizes alone. A large set is found by scanning inverted lists of the first shingles of its set in an order common
-to all: by hash, after all shingles that many documents have. The boundary between small and large is where listing subsets would
-cost more than scanning lists. Lists are scanned twice: first every member is held against one member of its list, which joins groups of
-near copies into components at a cost linear in the group; then members of different components in one list are compared, unless their
-shared shingles so far show that they cannot link. So no link between different texts is lost, and a group of copies costs no square.
+to all: by how many documents have them, in levels, then by hash. The boundary between small and large is where listing subsets would
+cost more than scanning lists. Lists are scanned three times: first every member is held against one member of its list, then against one of
+several, which joins groups of near copies into components at a cost linear in the group; then members of different components in one list
+are compared, unless what they have left from there on shows that they cannot link. So no link between different texts is lost, and a group of copies costs no square.
 
 A null text, or one without words, has an empty set and is linked with nothing. Sets and shingles are known by 64-bit hashes.
 """
@@ -30,13 +30,20 @@ WORDS = 5
 PART, WHOLE = 3, 7
 #: Rows that one posting costs, about, with what is compared because of it.
 POSTING_COST = 16
-#: Documents of a task that must have a shingle twice before it can count as frequent, and documents that make it frequent.
-FREQUENT = 8
+#: Documents that make a shingle frequent (a task must see it twice before it counts), and how many times more make it frequent at the next level.
+FREQUENT, LEVEL = 8, 4
 #: Shingles of a task that are counted at once.
 COUNTED = 2_000_000
-#: Bits of the filters that go to all tasks: 4 MB and 2 MB. More frequent shingles than a sixteenth of it raise FREQUENT.
+#: Ratio of the limits of a class of set sizes: sets that link are of one class or of neighbouring ones, so a little over 4 / 3.
+CLASS = 1.34
+#: Sets of an open list, about, that are held against one of them.
+DRAWN = 32
+#: Bits of the filters that go to all tasks: 4 MB for each of three levels and 2 MB. More frequent shingles than a sixteenth of it raise FREQUENT.
 FREQUENT_BITS, WANTED_BITS = 25, 24
 
+#: What sets that meet in a list must have left, and by how much their sketches may differ, if they link.
+MAY_LINK = f"{WHOLE} * least(room, room_b) >= {PART} * (n + n_b) and {WHOLE} * ({' + '.join(f'bit_count(sketch[{i}] ^ sketch_b[{i}])' for i in range(4))}) <= {WHOLE - 2 * PART} * (n + n_b)"
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -114,8 +121,15 @@ def signatures(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, mix(total[ends] - total[ends - counts] + counts.astype(np.uint64)), np.uint64(0)).view(np.int64)
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """A filter that holds the shingles that many documents have. It only sets the order of shingles, so what it misses or adds by chance costs time, not links."""
+def sketches(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """256 bits for each set, as four longs: whether the number of its shingles of each slot is odd. Two sets differ by as many shingles as bits at least."""
+    slot = (mix(flat ^ BYTE[0]) >> np.uint64(56)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(counts)), counts) * 256 + slot, minlength=256 * len(counts)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(len(counts), 4)
+
+
+def frequent(docs: DataFrame) -> list[np.ndarray]:
+    """Filters of the shingles that many documents have, that LEVEL times as many have, and so on. They only set the order of shingles, so what they miss or add by chance costs time, not links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -142,18 +156,19 @@ def frequent(docs: DataFrame) -> np.ndarray:
     steps = [FREQUENT << i for i in range(40)]
     sizes = counts.agg(*[F.count_if(F.col("n") >= s).alias(str(s)) for s in steps]).first()
     least = next(s for s in steps if sizes[str(s)] <= 1 << (FREQUENT_BITS - 4))
-    return bitmap(counts.where(f"n >= {least}").select(F.shiftrightunsigned("h", 64 - FREQUENT_BITS).alias("slot")), FREQUENT_BITS)
+    return [bitmap(counts.where(f"n >= {least * LEVEL**i}").select(F.shiftrightunsigned("h", 64 - FREQUENT_BITS).alias("slot")), FREQUENT_BITS) for i in range(3)]
 
 
-def _sets(docs: DataFrame, often: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, often: list[np.ndarray]) -> DataFrame:
     """doc_id, n, rare (shingles that few have), sig, first: shingles to scan lists for, as numbers whose unsigned order is the common order."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         flat, counts = shingles(texts_of(batch.column(1)))
         sig = signatures(flat, counts)
-        hot = hit(shared.value, flat, FREQUENT_BITS)
-        ranked = (flat >> np.uint64(1)) | (hot.astype(np.uint64) << np.uint64(63))
+        level = sum(hit(x, flat, FREQUENT_BITS).astype(np.uint64) for x in shared.value)
+        hot = level > 0
+        ranked = (flat >> np.uint64(2)) | (level << np.uint64(62))
         take = np.where(counts >= SCANNED, first_shingles(counts), 0)
         out = []
         ends = np.cumsum(counts)
@@ -169,11 +184,12 @@ def _sets(docs: DataFrame, often: np.ndarray) -> DataFrame:
             "n": pa.array(counts),
             "rare": pa.array(rare),
             "sig": pa.array(sig),
+            "sketch": lists(sketches(flat, counts).ravel(), np.full(len(counts), 4), pa.int64()),
             "first": lists(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64), take, pa.int64()),
             "small": lists(np.concatenate(small) if small else np.zeros(0, np.int64), np.where(counts <= SMALL, counts, 0), pa.int64()),
         }
 
-    schema = T._parse_datatype_string("doc_id long, text_hash long, n long, rare long, sig long, first array<long>, small array<long>")
+    schema = T._parse_datatype_string("doc_id long, text_hash long, n long, rare long, sig long, sketch array<long>, first array<long>, small array<long>")
     return rows_from(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), kernel, schema, "text", 1_000_000)
 
 
@@ -204,7 +220,7 @@ def _small_links(sets: DataFrame) -> DataFrame:
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """h, sig, n, rare, lead: postings of lists with more than one member; lead is the member with the fewest rare shingles, like the text that
+    """h, sig, n, rare, p, lead: postings of lists with more than one member; lead is the member with the fewest rare shingles, like the text that
     the others of a group were copied from.
 
     Lists of shingles that few documents have are read in order from one partition. Others may hold much of the corpus, so their lead comes
@@ -215,7 +231,7 @@ def _lists(postings: DataFrame) -> DataFrame:
         rest: tuple[np.ndarray, ...] | None = None
         before: tuple[int, int] | None = None  # the list that is open, and its lead, once a part of it has been given out
 
-        def given(h: np.ndarray, sig: np.ndarray, n: np.ndarray, rare: np.ndarray, start: tuple[int, int] | None) -> pa.RecordBatch:
+        def given(h: np.ndarray, sig: np.ndarray, n: np.ndarray, rare: np.ndarray, p: np.ndarray, start: tuple[int, int] | None) -> pa.RecordBatch:
             new = np.concatenate([[True], h[1:] != h[:-1]])
             begin = np.flatnonzero(new)
             size = np.diff(begin, append=len(h))
@@ -224,10 +240,10 @@ def _lists(postings: DataFrame) -> DataFrame:
             if start and len(h) and h[0] == start[0]:
                 lead[: size[0]] = start[1]
                 many[: size[0]] = True
-            return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (h, sig, n, rare, lead)], names=["h", "sig", "n", "rare", "lead"])
+            return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (h, sig, n, rare, p, lead)], names=["h", "sig", "n", "rare", "p", "lead"])
 
         for batch in batches:
-            part = tuple(batch.column(i).to_numpy() for i in range(4))
+            part = tuple(batch.column(i).to_numpy() for i in range(5))
             if rest is not None:
                 part = tuple(np.concatenate([a, b]) for a, b in zip(rest, part, strict=True))
             if not len(part[0]):
@@ -245,10 +261,10 @@ def _lists(postings: DataFrame) -> DataFrame:
             yield given(*rest, before)
 
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seldom = postings.where("h >= 0").repartition(n, "h").sortWithinPartitions("h", "rare", "sig").mapInArrow(run, "h long, sig long, n long, rare long, lead long")
-    often = postings.where("h < 0")
+    seldom = postings.where("shiftrightunsigned(h, 62) = 0").repartition(n, "h").sortWithinPartitions("h", "rare", "sig").mapInArrow(run, "h long, sig long, n long, rare long, p int, lead long")
+    often = postings.where("shiftrightunsigned(h, 62) > 0")
     leads = often.groupBy("h").agg(F.min(F.struct("rare", "sig")).alias("lead"), F.count("*").alias("k")).where("k > 1").select("h", F.col("lead.sig").alias("lead"))
-    return seldom.unionByName(often.join(leads, "h").select("h", "sig", "n", "rare", "lead"))
+    return seldom.unionByName(often.join(leads, "h").select("h", "sig", "n", "rare", "p", "lead"))
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -270,6 +286,48 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(WHOLE * shared >= PART * (F.size("s_a") + F.size("s_b"))).select("a", "b")
 
 
+def _open(lists_: DataFrame, first: DataFrame, reps: DataFrame) -> DataFrame:
+    """sig, c (its component), n, sketch, taken (how many first shingles), end (the last of them) and hs: those that other components have, too, in the common order, with the lengths of their lists and their places."""
+    flipped = lambda x: x.bitwiseXOR(F.lit(-(2**63)))  # noqa: E731  unsigned order
+    known = lists_.select("h", "sig", "p").join(first.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
+    mixed = known.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).where("low <> high").select("h", "k")
+    open_ = known.join(mixed, "h").groupBy("sig").agg(F.first("c").alias("c"), F.sort_array(F.collect_list(F.struct(flipped(F.col("h")).alias("h"), "k", "p"))).alias("hs"))
+    return checkpointed(open_.join(reps.select("sig", "n", "sketch", F.size("first").alias("taken"), flipped(F.try_element_at("first", F.lit(-1))).alias("end")), "sig"))
+
+
+def _postings(open_: DataFrame) -> DataFrame:
+    """h, k, class (of size), sig, c, n, sketch and room: what a set has from a shingle on, in the common order.
+
+    A pair is met in the list of the first shingle that it shares: nothing before it is shared, so there both rooms must be enough to link with a
+    set of the other's size.
+    """
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(CLASS))).cast("int")
+    rows = open_.select("sig", "c", "n", "sketch", size.alias("class"), F.explode("hs").alias("x"))
+    return rows.select("x.h", "x.k", "class", "sig", "c", "n", "sketch", (F.col("n") - F.col("x.p")).alias("room")).where("4 * room >= 3 * n")
+
+
+def _drawn(open_: DataFrame) -> DataFrame:
+    """a, b: each set of an open list with one of about DRAWN of its list, where the two may link. As many pairs as postings at most."""
+    rows = _postings(open_).withColumn("part", F.pmod(F.xxhash64("sig", "h"), F.ceil(F.col("k") / DRAWN)))
+    lead = rows.groupBy("h", "part").agg(F.min(F.struct(F.xxhash64("h", "sig").alias("o"), F.col("sig").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"), F.col("sketch").alias("sketch_b"))).alias("lead"))
+    both = rows.join(lead, ["h", "part"]).select("sig", "c", "n", "room", "sketch", "lead.*")
+    return both.where(f"c <> c_b and 4 * least(n, n_b) >= 3 * greatest(n, n_b) and {MAY_LINK}").select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b")).distinct()
+
+
+def _across(open_: DataFrame) -> DataFrame:
+    """a, b: pairs of sets of different components that may link. Lists are split by classes of size."""
+    rows = _postings(open_)
+    shorter = rows.where(f"{WHOLE} * room >= {2 * PART} * n")
+    longer = rows.select("h", F.explode(F.array("class", F.col("class") - 1)).alias("class"), F.col("sig").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"), F.col("sketch").alias("sketch_b"))
+    fits = F.expr(f"c <> c_b and (n < n_b or n = n_b and sig < b) and 4 * n >= 3 * n_b and {MAY_LINK}")
+    pairs = shorter.join(longer, ["h", "class"]).where(fits).select(F.col("sig").alias("a"), "b").distinct()
+    # all shared shingles up to where the first of the two prefixes ends are known, and beyond it that set has n - taken more
+    side = lambda x: open_.select(F.col("sig").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in ("n", "taken", "end")), F.col("hs.h").alias(f"hs_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    left = F.expr("case when end_a < end_b then n_a - taken_a when end_a > end_b then n_b - taken_b else least(n_a - taken_a, n_b - taken_b) end")
+    return both.where(WHOLE * (F.size(F.array_intersect("hs_a", "hs_b")) + left) >= PART * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def join(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of a frame with doc_id and text: the smallest doc_id that links reach, itself included.
 
@@ -284,8 +342,8 @@ def groups(df: DataFrame) -> DataFrame:
     prepare(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = checkpointed(_sets(docs, frequent(docs)))
-    reps = checkpointed(sets.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("first").alias("first"), F.first("small").alias("small")))
-    lists_ = checkpointed(_lists(reps.where("size(first) > 0").select(F.explode("first").alias("h"), "sig", "n", "rare")))
+    reps = checkpointed(sets.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("first").alias("first"), F.first("small").alias("small")))
+    lists_ = checkpointed(_lists(reps.where("size(first) > 0").select(F.posexplode("first").alias("p", "h"), "sig", "n", "rare").select("h", "sig", "n", "rare", "p")))
     fits = lambda a, b: (4 * F.least(a, b) >= 3 * F.greatest(a, b))
     size = reps.select(F.col("sig").alias("lead"), F.col("n").alias("lead_n"))
     near = lists_.where("sig <> lead").groupBy("sig", "lead").agg(F.first("n").alias("n"), F.count("*").alias("shared")).join(size, "lead").where(fits("n", "lead_n"))
@@ -294,22 +352,11 @@ def groups(df: DataFrame) -> DataFrame:
     links = _small_links(reps).unionByName(_verified(docs, reps, checkpointed(near.select(F.col("sig").alias("a"), F.col("lead").alias("b")))))
     links = checkpointed(links)
     first = components(links)
-    # Members of one list in different components. A set with a frequent shingle among its first has all its rare ones before it. Two sets that
-    # share a rare one meet in that one's list; two that meet in the list of a frequent one without that share no more than frequent ones.
-    known = lists_.select("h", "sig", "n", "rare").join(first.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
-    mixed = known.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
-    open_ = checkpointed(known.join(mixed, "h"))
-    other = open_.select("h", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("rare").alias("rare_b"), F.col("c").alias("c_b"))
-    enough = F.expr(f"h >= 0 or {WHOLE} * least(n - rare, n_b - rare_b) >= {PART} * (n + n_b)")
-    across = open_.join(other, "h").where("sig < b and c <> c_b").where(fits("n", "n_b")).where(enough).groupBy("sig", "b").agg(F.first("n").alias("n"), F.first("n_b").alias("n_b"), F.first("rare").alias("rare"), F.first("rare_b").alias("rare_b"), F.count("*").alias("shared"))
-    # all shared shingles up to where the first of the two prefixes ends are counted, and beyond it that set has n - prefix more
-    flipped = lambda x: x.bitwiseXOR(F.lit(-(2**63)))  # noqa: E731  unsigned order
-    ends = reps.where("size(first) > 0").select("sig", flipped(F.element_at("first", -1)).alias("end"), F.size("first").alias("taken"))
-    across = across.join(ends, "sig").join(ends.select(F.col("sig").alias("b"), F.col("end").alias("end_b"), F.col("taken").alias("taken_b")), "b")
-    # frequent shingles of pairs that are not met in frequent lists are not counted, so all that could be shared are added
-    uncounted = F.when(F.expr(f"{WHOLE} * least(n - rare, n_b - rare_b) >= {PART} * (n + n_b)"), 0).otherwise(F.greatest(F.lit(0), F.least(F.col("taken") - F.col("rare"), F.col("taken_b") - F.col("rare_b"))))
-    most = F.col("shared") + uncounted + F.when(F.col("end") < F.col("end_b"), F.col("n") - F.col("taken")).when(F.col("end") > F.col("end_b"), F.col("n_b") - F.col("taken_b")).otherwise(F.least(F.col("n") - F.col("taken"), F.col("n_b") - F.col("taken_b")))
-    rest = checkpointed(across.where(WHOLE * most >= PART * (F.col("n") + F.col("n_b"))).select(F.col("sig").alias("a"), "b"))
+    # A group of near copies is not always joined by one member of its lists, so open lists are held against several, drawn by hash, ...
+    links = checkpointed(links.unionByName(_verified(docs, reps, checkpointed(_drawn(_open(lists_, first, reps))))))
+    first = components(links)
+    # ... and then only members of different components are compared, pair by pair.
+    rest = checkpointed(_across(_open(lists_, first, reps)))
     more = checkpointed(_verified(docs, reps, rest)) if rest.head(1) else None
     if more is not None and more.head(1):
         first = components(links.unionByName(more))
