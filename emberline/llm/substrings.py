@@ -34,8 +34,6 @@ RANGE = 12
 WANTED_BITS = 24
 #: Bytes of the segments whose transform is built at once, unless a unit has more.
 BLOCK_BYTES = 700_000
-#: Prefix length up to which sorting has told suffixes apart when the expansion starts.
-SEED = 128
 POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -87,8 +85,8 @@ def anchored_long(text: bytes, length: int, gram: int, step: int = 4_000_000) ->
     return np.zeros(len(a), np.int64), a, n, h, place
 
 
-def suffixes(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of data (which ends with 0xFF bytes) in the order of their first 256 bytes, and whether each differs from the one before within the first `depth`."""
+def suffixes(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Suffixes of data (which ends with 0xFF bytes) in the order of their first `depth` bytes or more, as the transform needs them."""
     n = len(data) - 8
     order = np.argsort(np.ndarray((n,), dtype=">u8", buffer=data, strides=(1,)).astype(np.uint64))
     word = np.ndarray((n,), dtype=">u8", buffer=data, strides=(1,))[order]
@@ -96,8 +94,8 @@ def suffixes(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(n)
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, at, 0))
-    step, differs = 8, new.copy()
-    while step < 256:
+    step = 8
+    while step <= depth:
         tied = ~new
         tied[:-1] |= ~new[1:]
         slots = np.flatnonzero(tied)
@@ -112,36 +110,41 @@ def suffixes(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         new[slots] = fresh
         rank[who] = np.maximum.accumulate(np.where(fresh, slots, 0))
         step *= 2
-        if step <= depth:
-            differs = new.copy()
-    return order, differs
+    return order
 
 
 def repeated(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """The order of suffixes, and whether each shares its first `length` bytes with the one before it.
 
-    differs holds the ends of the intervals of suffixes with equal prefixes of a length. An interval of the next length is one of this length
-    extended by the byte before it: neighbours in the order that begin with the same byte stay together as long as no interval ends between
-    what follows that byte in either, which are their places under the transform's mapping.
+    differs holds the ends of the intervals of suffixes with equal prefixes of a length, from length 1 on. An interval of the next length is one
+    of this length extended by the byte before it: neighbours in the order that begin with the same byte stay together as long as no interval
+    ends between what follows that byte in either, which are their places under the transform's mapping. Where these places are neighbours, too,
+    only one end lies between them, so it is handed back when it is found; all others look again at each length.
     """
-    seed = SEED if length > SEED else 8
-    order, differs = suffixes(data, seed)
+    order = suffixes(data, length)
     n = len(order)
     place = np.empty(n, dtype=np.int64)
     place[order] = np.arange(n)
     after = place[np.minimum(order + 1, n - 1)]  # what the transform's mapping leads back from
-    open_ = np.flatnonzero(~differs)
+    byte = data[order]
+    differs = np.concatenate([[True], byte[1:] != byte[:-1]])
+    chained = np.concatenate([[False], after[1:] == after[:-1] + 1]) & ~differs & (order < n - 2)
+    back = np.full(n, -1, dtype=np.int64)
+    back[after[chained]] = np.flatnonzero(chained)
+    open_ = np.flatnonzero(~differs & ~chained)
     low, high = after[open_ - 1], after[open_]
-    for _ in range(seed, length):
-        if not len(open_):
+    fresh = np.flatnonzero(differs)
+    for _ in range(1, length):
+        if not len(fresh):  # no interval has been split, so none will be
             break
         ends = np.cumsum(differs, dtype=np.int32)
         apart = ends[low] != ends[high]
-        differs[open_[apart]] = True
-        open_, low, high = open_[~apart], low[~apart], high[~apart]
-    same = np.zeros(n, dtype=bool)
-    same[open_] = True
-    return order, same
+        handed = back[fresh]
+        fresh = np.concatenate([open_[apart], handed[handed >= 0]])
+        differs[fresh] = True
+        if len(fresh) and apart.any():
+            open_, low, high = open_[~apart], low[~apart], high[~apart]
+    return order, ~differs
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,10 +250,11 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < 2 * GRAM:
         raise ValueError(f"strings of at least {2 * GRAM} bytes")
     slim = docs.select("text", "_k1", "_k2").where(F.octet_length("text") >= length)
-    shared = _segments(slim, length, True).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, as adaptive joins can split a hot anchor only where both sides come straight from a shuffle.
+    shared = checkpointed(_segments(slim, length, True).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     every = checkpointed(_segments(slim, length, False).join(shared, "anchor"))
-    contents = every.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "first", "many", "place")).alias("at"))
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    contents = checkpointed(every.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "first", "many", "place")).alias("at")))
+    kinds = checkpointed(contents.groupBy("anchor").agg(F.count("*").alias("kinds")))
     contents = checkpointed(contents.join(kinds, "anchor"))
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         out: list[tuple] = []
