@@ -21,10 +21,12 @@ CHUNK_BYTES = 2_000_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches, and sees to it that checkpoint() has a folder: the cluster's, else one of our own."""
+    """Bounds Arrow batches, and sees to it that checkpoint() has a folder: the cluster's, or one of our own where all runs on one machine."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="emberline-"))
 
 

@@ -2,7 +2,8 @@
 
 Each class has a mean and a covariance shrunk towards its diagonal and towards the pooled one; the score comes from the difference of the
 Mahalanobis log densities, with Cholesky factors computed once, and is calibrated by an isotonic curve on documents kept out of the fit. A
-null or empty text has the statistics of no words and gets a score like any other.
+null or empty text has the statistics of no words and gets a score like any other. Rows are scored one by one, so rows that repeat stay as many with
+equal scores, and other columns pass through; without labels every score is a half. Of several labels of one document the largest holds.
 """
 
 from __future__ import annotations
