@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
 from functools import reduce
 
@@ -23,6 +24,15 @@ SCOPES = (
     ("multicast", ("224.0.0.0/4",)),
     ("private", ("0.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.168.0.0/16", "198.18.0.0/15", "240.0.0.0/4")),
 )
+#: IPv6 ranges of scopes, first match first; ranges that are public though a private one holds them stand before it.
+SCOPES6 = (
+    ("loopback", ("::1/128",)),
+    ("link_local", ("fe80::/10",)),
+    ("multicast", ("ff00::/8",)),
+    ("public", ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")),
+    ("private", ("::/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7")),
+    ("reserved", ("::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fe00::/9")),
+)
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -64,19 +74,67 @@ def ipv4(address: Column) -> Column:
     return F.when(F.trim(address).rlike(rf"^{octet}\.{octet}\.{octet}\.{octet}$"), number)
 
 
+def ipv6(address: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address; null if it is none. A zone goes, and a dotted end counts as two groups."""
+    text = F.regexp_replace(F.lower(F.trim(address)), "%[^%/]+$", "")
+    dotted = F.regexp_extract(text, r"^[0-9a-f:]*:(\d+\.\d+\.\d+\.\d+)$", 1)
+    low = F.lpad(F.lower(F.hex(ipv4(dotted))), 8, "0")
+    plain = F.when(dotted == "", text).otherwise(F.concat(F.regexp_extract(text, r"^([0-9a-f:]*:)", 1), F.substr(low, F.lit(1), F.lit(4)), F.lit(":"), F.substr(low, F.lit(5), F.lit(4))))
+
+    def digits(t: Column) -> Column:
+        groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+        whole = lambda gs: F.array_join(F.transform(gs, lambda g: F.lpad(g, 4, "0")), "")
+        halves = F.split(t, "::")
+        left, right = groups(F.element_at(halves, 1)), groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
+        shape = t.rlike("^[0-9a-f:]+$") & ~t.rlike(":::|^:[^:]|[^:]:$|[0-9a-f]{5}")
+        short = F.concat(whole(left), F.repeat(F.lit("0000"), 8 - F.size(left) - F.size(right)), whole(right))
+        return F.when(shape & (F.size(halves) == 2) & (F.size(left) + F.size(right) <= 7), short).when(shape & (F.size(halves) == 1) & (F.size(left) == 8), whole(left))
+
+    return bound(plain, digits)
+
+
 def block(cidr: str) -> tuple[int, int]:
-    """First and last number of an IPv4 block."""
-    address, _, bits = cidr.partition("/")
-    n, size = reduce(lambda a, b: a * 256 + int(b), address.split("."), 0), 1 << (32 - int(bits or 32))
-    return n // size * size, n // size * size + size - 1
+    """First and last number of a block of addresses; a ValueError if it is none."""
+    net = ipaddress.ip_network(str(cidr).strip(), strict=False)
+    return int(net.network_address), int(net.broadcast_address)
+
+
+def within(address: Column, cidr: str) -> Column:
+    """Whether an address is in a block; one of the other family is not."""
+    low, high = block(cidr)
+    if ":" in str(cidr):
+        return F.coalesce(ipv6(address).between(f"{low:032x}", f"{high:032x}"), F.lit(False))
+    return F.coalesce(ipv4(address).between(low, high), F.lit(False))
+
+
+def in_blocks(address: Column, blocks: list) -> Column:
+    """Whether an address is in one of the blocks, tried in order: a malformed block ends the search without a hit."""
+    good = []
+    for b in blocks:
+        try:
+            block(b)
+        except ValueError:
+            break
+        good.append(within(address, b))
+    return _any(good) if good else F.lit(False)
 
 
 def destination_scope(address: Column) -> Column:
-    n = ipv4(address)
-    out = F.when(address.isNull() | (address == ""), None).when(n.isNull(), "unknown")
-    for name, blocks in SCOPES:
-        out = out.when(_any([n.between(*block(b)) for b in blocks]), name)
-    return out.otherwise("public")
+    """public, private, loopback, link_local, multicast or reserved; unknown if it is no address. An IPv4 address mapped into IPv6 counts as such."""
+    six = F.when(F.contains(address, F.lit(":")), ipv6(address))
+
+    def scope(six: Column) -> Column:
+        n = F.when(F.startswith(six, F.lit("0" * 20 + "ffff")), F.conv(F.substr(six, F.lit(25)), 16, 10).cast("bigint")).otherwise(ipv4(address))
+        out = F.when(address.isNull() | (address == ""), None)
+        out = out.when(n.isNull() & six.isNull(), "unknown")
+        for name, blocks in SCOPES:
+            out = out.when(_any([n.between(*block(b)) for b in blocks]), name)
+        out = out.when(n.isNotNull(), "public")
+        for name, blocks in SCOPES6:
+            out = out.when(_any([six.between(*(f"{x:032x}" for x in block(b))) for b in blocks]), name)
+        return out.otherwise("public")
+
+    return bound(six, scope)
 
 
 def entropy(text: Column) -> Column:
@@ -262,6 +320,40 @@ def integrity_category(value: Column) -> Column:
     return out.otherwise("missing")
 
 
-def retry_delay(attempt: Column, base: float = 1.0, most: float = 300.0) -> Column:
-    """Seconds before the next attempt, without jitter."""
-    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(most))
+def retry_delay(attempt: Column, base: float = 1.0, most: float = 300.0, key: Column | None = None, jitter: float = 0.1) -> Column:
+    """Seconds before the next attempt. With a key, up to a share of them more or less: from a hash, so a task that runs again says the same."""
+    plain = F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(most))
+    if key is None:
+        return plain
+    share = F.pmod(F.xxhash64(key, attempt), F.lit(20_001)) / 10_000.0 - 1
+    return F.greatest(F.lit(0.0), plain * (1 + jitter * share))
+
+
+#: Fixed patterns: marks of the laboratories in which attacks were recorded, in the order in which they are replaced.
+SCRUB = (
+    (r"(?i)[a-z]:\\atomicredteam\\atomics\\[^\s\"']*", r"c:\\tools\\payload"),
+    (r"(?i)[a-z]:\\detectiontesting\\[^\s\"']*", r"c:\\tools\\payload"),
+    (r"(?i)pathtoatomicsfolder|externalpayloads|atomicredteam|invoke-atomictest", "tool"),
+    (r"(?i)\bt1\d{3}(?:\.\d{3})?\b", "item"),
+    (r"(?i)\b[\w.-]*\.(?:attackrange\.local|theshire\.local|mordor\.local|waynecorpinc\.local|pandalab\.com|azsentinel\.local|contoso\.lab|systemia\.com)\b", "host.example"),
+    (r"(?i)\bwin-(?:dc|host)-[\w-]+\b", "host"),
+)
+
+
+def scrubbed(text: Column) -> Column:
+    for pattern, by in SCRUB:
+        text = F.regexp_replace(text, pattern, by)
+    return text
+
+
+def recommendation(action: Column, pid: Column, file: Column) -> Column:
+    """What a response asks for, and whether somebody has to approve it."""
+    target = F.concat_ws(", ", F.concat(F.lit("pid "), pid.cast("string")), file)
+    named = F.concat(action, F.when(target == "", "").otherwise(F.concat(F.lit(" ("), target, F.lit(")"))))
+    destructive = action.isin("TERMINATE_PROCESS", "ISOLATE_HOST", "QUARANTINE_FILE", "RELEASE_HOST_ISOLATION")
+    return F.when(action.isNull(), "no action recommended -- detection only").otherwise(F.concat(named, F.when(destructive, " -- requires analyst approval before it runs").otherwise(" -- read-only, may run automatically")))
+
+
+def clean_title(title: Column) -> Column:
+    """A title without the [CATEGORY] in front."""
+    return F.when(F.startswith(title, F.lit("[")) & F.contains(title, F.lit("]")), F.trim(F.regexp_replace(title, r"^\[[^\]]*\]", ""))).otherwise(title)

@@ -33,6 +33,14 @@ def observed_seconds(events: DataFrame, most: int = 3600) -> DataFrame:
     return events.select("host_id", F.least(gap, F.lit(float(most))).alias("g")).groupBy("host_id").agg(F.round(F.sum("g"), 3).alias("seconds"))
 
 
+def census(events: DataFrame) -> DataFrame:
+    """family, events and hours: how much of each family of events there is, and the hours of the hosts that have it."""
+    family = F.split_part("event_type", F.lit("_"), F.lit(1))
+    hours = observed_seconds(events).select("host_id", F.round(F.coalesce("seconds", F.lit(0.0)) / 3600, 4).alias("hours"))
+    by = events.groupBy("host_id", family.alias("family")).agg(F.count("*").alias("n")).join(hours, "host_id")
+    return by.groupBy("family").agg(F.sum("n").alias("events"), F.round(F.sum("hours"), 2).alias("hours"))
+
+
 def consistent(rows: DataFrame, key: list[str], label: str, order: list[str]) -> DataFrame:
     """The first row of each key; keys with more than one label are left out."""
     agreed = rows.groupBy(*key).agg(F.min(label).alias("_a"), F.max(label).alias("_b"), F.min(F.struct(*order, label)).alias("r")).where("_a = _b")

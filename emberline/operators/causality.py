@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.operators.stateful import folded
 from emberline.plans.lineage import cut
 
 HOUR = 3_600_000_000
@@ -56,20 +57,25 @@ def walk(starts: DataFrame, flow: DataFrame, back: bool, depth: int = 12, span:
 
 
 def merged_starts(starts: DataFrame, keys: list[str], same: list[str], fill: list[str], gap: int = SECOND) -> DataFrame:
-    """Starts that two sensors report become one: same keys, at most `gap` after the report before, and equal `same` where both are known.
+    """Starts that several sensors report become one: same keys, at most `gap` after the first report, and equal `same` where both are known.
 
-    Columns of `fill` take their first known value in order of time. Reports counts what went into a row.
+    Columns of `fill` take their first known value in order of time. Reports counts what went into a row, event_id is that of the first.
     """
-    w = Window.partitionBy(*keys).orderBy("us", "event_id")
-    near = starts.withColumn("_near", F.sum(F.when(F.col("us") - F.lag("us").over(w) <= gap, 0).otherwise(1)).over(w))
-    inner = Window.partitionBy(*keys, "_near").orderBy("us", "event_id")
-    known = lambda c: F.last(c, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.lit(False)
-    for c in same:
-        new = new | F.coalesce(F.col(c) != known(c), F.lit(False))
-    runs = near.withColumn("_new", new.cast("int")).withColumn("_run", F.struct("_near", F.sum("_new").over(inner)))
+
+    def step(state, row):
+        near = [r for r in state if row.us - r[0] <= gap]
+        own = tuple(getattr(row, c) for c in same)
+        for i, (first, event, known) in enumerate(near):
+            if all(a is None or b is None or a == b for a, b in zip(own, known, strict=True)):
+                near[i] = (first, event, tuple(b if b is not None else a for a, b in zip(own, known, strict=True)))
+                return near, {"event_id": row.event_id, "run": event}
+        return [*near, (row.us, row.event_id, own)], {"event_id": row.event_id, "run": row.event_id}
+
+    kind = dict(starts.dtypes)["event_id"]
+    rows = starts.select(*keys, "us", "event_id", *[F.col(c).cast("string").alias(c) for c in same])
+    runs = folded(rows, keys, ["us", "event_id"], [], step, f"event_id {kind}, run {kind}")
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("us", "event_id", c)))[c].alias(c)
-    return runs.groupBy(*keys, "_run").agg(F.min("us").alias("us"), F.min_by("event_id", F.struct("us", "event_id")).alias("event_id"), F.count("*").alias("reports"), *[first(c) for c in fill]).drop("_run")
+    return starts.join(runs, "event_id").groupBy(*keys, "run").agg(F.min("us").alias("us"), F.count("*").alias("reports"), *[first(c) for c in fill]).withColumnRenamed("run", "event_id")
 
 
 def template_groups(rows: DataFrame, item: str, template: str) -> DataFrame:

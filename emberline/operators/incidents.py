@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.operators.storyline import BANDS
+
 
 def stages(hits: DataFrame) -> DataFrame:
     """The first hit of each rule in each process."""
@@ -14,14 +16,26 @@ def stages(hits: DataFrame) -> DataFrame:
     return first.select("host_id", "pid", "rule_id", "f.us", "f.event_id", "f.level", "f.tactic")
 
 
+def scored(level: Column, tactics: Column, context: Column | float = 0.0) -> Column:
+    """Score of an incident: of its highest level, its number of tactics, and what its context adds, up to a quarter."""
+    more = context if isinstance(context, Column) else F.lit(context)
+    return F.round(F.round(0.45 * F.least(level / 16, F.lit(1.0)), 3) + F.round(0.30 * F.least(tactics, F.lit(5)) / 5, 3) + F.round(F.least(more, F.lit(0.25)), 3), 3)
+
+
+def banded(score: Column) -> Column:
+    """The band of a score; the values are those of storyline.BANDS."""
+    return reduce(lambda made, b: made.when(score >= b[0], b[1]), BANDS[1:], F.when(score >= BANDS[0][0], BANDS[0][1]))
+
+
 def incident_scores(stages_: DataFrame) -> DataFrame:
     """host_id, stages, tactics, score and band: from the highest level and the number of tactics."""
     out = stages_.groupBy("host_id").agg(F.count("*").alias("stages"), F.count_distinct("tactic").alias("tactics"), F.max("level").alias("level"))
-    score = 0.45 * F.col("level") / 16 + 0.30 * F.least("tactics", F.lit(5)) / 5
-    return out.select("host_id", "stages", "tactics", F.round(score, 6).alias("score"), F.when(score >= 0.75, "high").when(score >= 0.55, "medium").otherwise("low").alias("band"))
+    score = scored(F.col("level"), F.col("tactics"))
+    return out.select("host_id", "stages", "tactics", score.alias("score"), banded(score).alias("band"))
 
 
 def response(level: Column, pid: Column) -> Column:
+    """What a level alone recommends; alerts.response() knows the rule's own action, too."""
     return F.when(level.between(12, 13) & pid.isNotNull(), "terminate_process").when(level >= 14, "isolate_host")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.plans.lineage import cut
+
 DAY = 86_400_000_000
 
 
@@ -40,7 +42,7 @@ def ancestors(edges: DataFrame, depth: int = 16) -> DataFrame:
         step = step.join(up, "ancestor").where(~F.array_contains("path", F.col("next"))).select("node", F.col("next").alias("ancestor"), F.lit(i).alias("level"), F.concat("path", F.array("next")).alias("path"))
         out = out.unionByName(step)
         if i % 4 == 0:  # long chains end early, and plans stay small
-            step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step
+            step = cut(step)
             if step.isEmpty():
                 break
     return out.select("node", "ancestor", "level")

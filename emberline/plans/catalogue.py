@@ -29,8 +29,6 @@ def put(name: str, query: Query, oracle: str | None = None) -> None:
 
 # ---- conditions
 
-#: Lists of threat intelligence; a fixed, small set.
-BAD_ADDRESSES = ("203.0.113.10", "8.8.8.8")
 PLAIN = "case when position('''+''' in replace(replace(trim(command_line), '^', ''), '`', '')) > 0 then regexp_replace(replace(replace(trim(command_line), '^', ''), '`', ''), '[''\"]\\s*\\+\\s*[''\"]', '', 'g') else replace(replace(trim(command_line), '^', ''), '`', '') end"
 ENTROPY = "(select -sum(p * log2(p)) from (select count(*) / sum(count(*)) over () as p from (select unnest(string_split({0}, '')) as c) group by c))"
 IP = "case when regexp_matches({0}, '^\\d+\\.\\d+\\.\\d+\\.\\d+$') then cast(split_part({0}, '.', 1) as bigint) * 16777216 + cast(split_part({0}, '.', 2) as bigint) * 65536 + cast(split_part({0}, '.', 3) as bigint) * 256 + cast(split_part({0}, '.', 4) as bigint) end"
@@ -59,11 +57,6 @@ CONDITIONS = {
 for _name, (_logic, _where) in CONDITIONS.items():
     put(f"rule_{_name}", lambda s, d, logic=_logic: tel(s, d).where(R.condition(logic)).select("event_id", "host_id"), f"select event_id, host_id from tel where {_where}")
 
-put(
-    "rule_threat_intel",
-    lambda s, d: tel(s, d).withColumn("threat_intel", F.col("destination_ip").isin(*BAD_ADDRESSES)).where(R.condition({"field": "destination_ip", "operator": "in_threat_intel", "value": "ip"})).select("event_id"),
-    "select event_id from tel where destination_ip in ('203.0.113.10', '8.8.8.8')",
-)
 RULES = [
     R.Rule("T-001", "process_create", {"any": [{"field": "process_name", "operator": "in", "value": ["whoami.exe", "net.exe"]}, {"field": "k", "operator": "greater_than", "value": 90}]}, level=10, tactic="Discovery", technique="T1087"),
     R.Rule("T-002", "network_connect", {"all": [{"field": "destination_ip", "operator": "cidr", "value": "10.0.0.0/8"}]}, level=8, tactic="Lateral Movement", technique="T1021"),
@@ -86,11 +79,9 @@ put("coverage_by_tactic", lambda s, d: R.coverage(s, RULES), "select * from (val
 
 # ---- scalar functions
 
-put("canonical_projection", lambda s, d: tel(s, d).select("event_id", "host_id", "pid", "ppid", "event_type", "process_name", "us"), "select event_id, host_id, pid, ppid, event_type, process_name, us from tel")
 put("path_class", lambda s, d: tel(s, d).select("event_id", C.path_class(F.col("path")).alias("path_class")), "select event_id, case path when 'C:/Users/a/AppData/Local/Temp/x.exe' then 'temp' when 'C:/Users/a/Downloads/report.PDF' then 'user_writable' when 'C:/Program Files/App/app.exe' then 'program_files' when '/usr/bin/curl' then 'system' when 'D:/tools/x.tar.gz' then 'other' when 'powershell.exe' then 'unknown' end as path_class from tel")
 put("file_extension", lambda s, d: tel(s, d).select("event_id", C.file_extension(F.col("path")).alias("extension")), "select event_id, nullif(lower(regexp_extract(coalesce(regexp_extract(path, '[^/]+$'), ''), '^.+(\\.[^.]+)$', 1)), '') as extension from tel")
 put("destination_scope", lambda s, d: tel(s, d).select("event_id", C.destination_scope(F.col("destination_ip")).alias("scope")), "select event_id, case when destination_ip is null then null when destination_ip like '10.%' then 'private' when destination_ip like '127.%' then 'loopback' when destination_ip like '169.254.%' then 'link_local' when destination_ip like '224.%' then 'multicast' when destination_ip = 'not-an-ip' then 'unknown' else 'public' end as scope from tel")
-put("access_mask_bits", lambda s, d: tel(s, d).selectExpr("event_id", "(access_mask & 16) <> 0 as can_read", "(access_mask & 32) <> 0 as can_write", "(access_mask & 2) <> 0 as can_create_thread"), "select event_id, (access_mask & 16) <> 0 as can_read, (access_mask & 32) <> 0 as can_write, (access_mask & 2) <> 0 as can_create_thread from tel")
 put("entropy", lambda s, d: tel(s, d).select("event_id", F.round(C.entropy(F.col("process_name")), 6).alias("bits")), f"select event_id, round({ENTROPY.format('process_name')}, 6) as bits from tel")
 put("generated_domains", lambda s, d: tel(s, d).select("event_id", C.is_generated_domain(F.col("query_name")).alias("is_dga"), C.is_tunnel(F.col("query_name")).alias("is_tunnel")), "select event_id, coalesce(query_name = 'xkjqw1987znvcb.biz', false) as is_dga, coalesce(query_name like '%attacker-c2.com', false) as is_tunnel from tel")
 put("deobfuscation", lambda s, d: tel(s, d).select("event_id", C.plain_command(F.col("command_line")).alias("plain"), C.encoded_part(F.col("command_line")).alias("encoded")), f"select event_id, {PLAIN} as plain, nullif(regexp_extract({PLAIN}, '(?i)(?:-e|-enc|-encodedcommand|-encodedc)\\s+([A-Za-z0-9+/=]{{10,}})', 1), '') as encoded from tel")
@@ -151,8 +142,6 @@ put(
     _RARITY + "select event_id, coalesce(n, 0) as n, case when (select sum(n) from base where dimension = 'name') < 200 then 'not_ready' when n is null then 'unseen' when n <= 2 then 'uncommon' else 'common' end as category from (select event_id, ppid || '>' || process_name as value from tel where event_type = 'network_connect') e left join (select * from base where dimension = 'parent_child') b using (value)",
 )
 put("observed_seconds", lambda s, d: A.observed_seconds(tel(s, d)), "select host_id, round(sum(g), 3) as seconds from (select host_id, least((us - lag(us) over (partition by host_id order by us, event_id)) / 1e6, 3600.0) as g from tel) group by host_id")
-put("census", lambda s, d: tel(s, d).groupBy("host_id", "event_type").agg(F.count("*").alias("n"), F.count_distinct("pid").alias("processes")), "select host_id, event_type, count(*) as n, count(distinct pid) as processes from tel group by all")
-put("consistent_labels", lambda s, d: A.consistent(tel(s, d).select("user_id", "us", "event_id", (F.col("k") % 2).alias("label")), ["user_id"], "label", ["us", "event_id"]), "select user_id, (r).us as us, (r).event_id as event_id, (r).label as label from (select user_id, min(struct_pack(us := us, event_id := event_id, label := k % 2)) as r from tel group by user_id having min(k % 2) = max(k % 2))")
 put("group_cap", lambda s, d: A.capped(tel(s, d), ["host_id", "event_type"], ["us", "event_id"], 3).select("event_id", F.col("place").cast("bigint").alias("place")), "select event_id, place from (select event_id, row_number() over (partition by host_id, event_type order by us, event_id) as place from tel) where place <= 3")
 _SCORED = lambda s, d: tel(s, d).select(F.floor(F.col("value")).alias("score"), F.when(F.col("k") + F.col("value") > 120, 1).otherwise(0).alias("label"))
 _SCORED_SQL = ", sc as (select cast(floor(value) as bigint) as score, case when k + value > 120 then 1 else 0 end as label from tel) "
@@ -160,7 +149,6 @@ put("roc_auc", lambda s, d: A.roc_auc(_SCORED(s, d)), _SCORED_SQL + ", g as (sel
 put("threshold_for_budget", lambda s, d: A.threshold_for_budget(_SCORED(s, d), 50), _SCORED_SQL + ", g as (select score, count(*) filter (label = 0) as fp from sc group by score), c as (select *, sum(fp) over (order by score desc) as total from g) select min(score) as threshold, cast(max(total) as bigint) as false_positives from c where total <= 50")
 put("token_sequences", lambda s, d: A.tokens(tel(s, d)), ", n as (select *, lag(event_type) over (partition by host_id, pid order by us, event_id) as before from tel), f as (select *, row_number() over (partition by host_id, pid order by us, event_id) as place from n where before is null or before <> event_type) select host_id, pid, string_agg(event_type, ',' order by place) as tokens from f where place <= 100 group by all")
 put("first_behaviours", lambda s, d: A.first_bits(tel(s, d)).select("host_id", "pid", "event_type", "first_us"), "select host_id, pid, event_type, min(us) as first_us from tel group by all")
-put("clock_offset", lambda s, d: tel(s, d).groupBy("host_id").agg(F.round(F.median("value"), 6).alias("offset_median")), "select host_id, round(median(value), 6) as offset_median from tel group by host_id")
 put(
     "allowlist",
     lambda s, d: tel(s, d).where("user_id % 2 = 0").select("process_name", "path", "event_type").distinct().join(tel(s, d).where("user_id % 2 = 1").select("process_name", "path", "event_type").distinct(), ["process_name", "path", "event_type"], "left_anti"),
@@ -240,7 +228,7 @@ put("incident_stages", lambda s, d: I.stages(_LEVEL(s, d)).select("host_id", "pi
 put(
     "incident_score",
     lambda s, d: I.incident_scores(I.stages(_LEVEL(s, d))),
-    _STAGES + ", g as (select host_id, count(*) as stages, count(distinct tactic) as tactics, max(level) as level from stg join tac using (rule_id) group by host_id), c as (select *, 0.45::double * level / 16 + 0.30::double * least(tactics, 5) / 5 as score from g) select host_id, stages, tactics, round(score, 6) as score, case when score >= 0.75 then 'high' when score >= 0.55 then 'medium' else 'low' end as band from c",
+    _STAGES + ", g as (select host_id, count(*) as stages, count(distinct tactic) as tactics, max(level) as level from stg join tac using (rule_id) group by host_id), c as (select *, round(round(0.45::double * least(level / 16, 1), 3) + round(0.30::double * least(tactics, 5) / 5, 3), 3) as score from g) select host_id, stages, tactics, score, case when score >= 0.75 then 'critical' when score >= 0.55 then 'high' else 'medium' end as band from c",
 )
 put("response_recommendation", lambda s, d: _LEVEL(s, d).select("event_id", "rule_id", I.response(F.col("level"), F.col("pid")).alias("action")), ", " + HITS + "select event_id, rule_id, case when level between 12 and 13 and pid is not null then 'terminate_process' when level >= 14 then 'isolate_host' end as action from hits")
 put("risk_index", lambda s, d: I.risk_index(_LEVEL(s, d).withColumn("points", F.col("level").cast("double")), ["host_id"], "points"), ", " + HITS + "select host_id, round(max(level) + 0.2::double * (sum(level) - max(level)), 6) as risk_index from hits group by host_id")

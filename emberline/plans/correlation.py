@@ -58,16 +58,18 @@ put("forward_closure", lambda s, d: _walk(s, d, RULES[2], False), _walk_sql("T-0
 put(
     "duplicate_start_merge",
     lambda s, d: G.merged_starts(tel(s, d).where("event_type = 'process_create'"), ["host_id", "pid"], ["path"], ["path", "command_line"], SPAN),
-    f", st as (select *, sum(case when us - lu <= {SPAN} then 0 else 1 end) over (partition by host_id, pid order by us, event_id) as near from (select *, lag(us) over (partition by host_id, pid order by us, event_id) as lu from tel where event_type = 'process_create') a), "
-    "pr as (select *, last_value(path ignore nulls) over (partition by host_id, pid, near order by us, event_id rows between unbounded preceding and 1 preceding) as lp from st), "
-    "ru as (select *, near || '.' || sum(case when coalesce(path <> lp, false) then 1 else 0 end) over (partition by host_id, pid, near order by us, event_id) as run from pr) "
-    "select host_id, pid, min(us) as us, arg_min(event_id, us) as event_id, count(*) as reports, arg_min(path, us) filter (path is not null) as path, arg_min(command_line, us) filter (command_line is not null) as command_line from ru group by host_id, pid, run",
+    ", ix as (select *, row_number() over (partition by host_id, pid order by us, event_id) as i from tel where event_type = 'process_create'), f as (with recursive f as (select host_id, pid, 0::bigint as i, 0::bigint as event_id, []::struct(f bigint, e bigint, p varchar)[] as st, 0::bigint as run from (select distinct host_id, pid from ix) union all "
+    "select host_id, pid, i, event_id, case when len(same) = 0 then list_append(near, {'f': us, 'e': event_id, 'p': path}) else list_transform(near, lambda r: case when r.e = same[1].e then {'f': r.f, 'e': r.e, 'p': coalesce(r.p, path)} else r end) end, case when len(same) = 0 then event_id else same[1].e end from ("
+    "select *, list_filter(near, lambda r: not (path is not null and r.p is not null and path <> r.p)) as same from ("
+    f"select x.host_id, x.pid, x.i, x.event_id, x.us, x.path, list_filter(f.st, lambda r: x.us - r.f <= {SPAN}) as near from f join ix x on x.host_id = f.host_id and x.pid = f.pid and x.i = f.i + 1))) select * from f where i > 0) "
+    "select ix.host_id, ix.pid, min(ix.us) as us, f.run as event_id, count(*) as reports, arg_min(ix.path, (ix.us, ix.event_id)) filter (ix.path is not null) as path, arg_min(ix.command_line, (ix.us, ix.event_id)) filter (ix.command_line is not null) as command_line from f join ix on ix.event_id = f.event_id group by ix.host_id, ix.pid, f.run",
 )
+_TEMPLATES = lambda s, d: tel(s, d).select("event_id", F.explode(F.array(F.concat_ws("|", F.lit("a"), "host_id", "user_id", "process_name"), F.concat_ws("|", F.lit("b"), "host_id", "user_id", "event_type"))).alias("t"))
 put(
     "template_components",
-    lambda s, d: G.template_groups(tel(s, d).where("k = user_id % 100 or k = (user_id + 1) % 100"), "user_id", "k").select(F.col("item").alias("user_id"), F.col("group").alias("component")),
-    ", l as (select distinct user_id, k from tel where k = user_id % 100 or k = (user_id + 1) % 100), r as (with recursive c(u, g) as (select user_id, user_id from l union select b.user_id, c.g from c join l a on a.user_id = c.u join l b on a.k = b.k) select * from c) "
-    "select u as user_id, min(g) as component from r group by u",
+    lambda s, d: G.template_groups(_TEMPLATES(s, d), "event_id", "t").select(F.col("item").alias("event_id"), F.col("group").alias("component")),
+    ", l as (select event_id as e, 'a|' || host_id || '|' || user_id || '|' || process_name as t from tel union all select event_id, 'b|' || host_id || '|' || user_id || '|' || event_type from tel), r as (with recursive c(e, g) as (select event_id, event_id from tel union select b.e, c.g from c join l a on a.e = c.e join l b on b.t = a.t) select * from c) "
+    "select e as event_id, min(g) as component from r group by e",
 )
 put(
     "rule_has_ancestor",
@@ -103,32 +105,6 @@ put(
 )
 
 
-def _story(s: SparkSession, d: str) -> DataFrame:
-    def step(state, row):
-        state, made = T.story(state, row.us, f"rule:{row.rule_id}", str(row.k), row.level / 16 * 70, row.tactic)
-        return state, {"host_id": row.host_id, "pid": row.pid, "event_id": row.event_id, **{k: made[k] for k in ("score", "run", "sources")}} if made else None
-
-    rows = R.scan(tel(s, d), RULES).select("host_id", "pid", "us", "event_id", "rule_id", "level", "tactic", "k")
-    return S.folded(rows, ["host_id", "pid"], ["us", "event_id", "rule_id"], {}, step, "host_id string, pid long, event_id long, score double, run long, sources long")
-
-
-def _incidents(s: SparkSession, d: str) -> DataFrame:
-    hits = R.scan(tel(s, d), RULES).select("host_id", "pid", "us", "event_id", "rule_id", "level", "tactic")
-    actor = F.concat_ws(":", "host_id", F.col("pid").cast("string"))
-    starts = hits.select(F.col("event_id").alias("anchor"), actor.alias("node"), (F.col("us") - SPAN).alias("lo"), F.col("us").alias("hi")).distinct()
-    reached = G.walk(starts, G.flows(tel(s, d)), True, stop=_hubs(s, d)).join(_hubs(s, d), "node", "left_anti")
-    scopes = reached.where("not contains(node, '|')").groupBy("anchor").agg(F.collect_set("node").alias("scope"))
-    rows = hits.join(scopes, hits["event_id"] == scopes["anchor"], "left").select(*hits.columns, actor.alias("actor"), F.coalesce("scope", F.array().cast("array<string>")).alias("scope"))
-
-    def step(state, row):
-        state, made = T.incident(state, {"us": row.us, "event_id": row.event_id, "rule_id": row.rule_id, "actor": row.actor, "level": row.level, "tactic": row.tactic, "scope": row.scope})
-        return state, {"host_id": row.host_id, "event_id": row.event_id, **made} if made else None
-
-    return S.folded(rows, ["host_id"], ["us", "event_id", "rule_id"], {}, step, "host_id string, event_id long, incident_id string, revision long, score double, band string, stages long, tactics long, root string, merged long")
-
-
-put("storyline_alerts", _story)
-put("incident_alerts", _incidents)
 _INDEXED = "ix as (select *, row_number() over (partition by host_id order by us, event_id) as i from ev)"
 _FOLD = ", ev as ({ev}), " + _INDEXED + ", f as (with recursive f as (select h.host_id, 0::bigint as i, 0::bigint as event_id, {start} as st, false as fired from (select distinct host_id from ix) h union all select host_id, i, event_id, {after}, fired from (select x.host_id, x.i, x.event_id, x.us, {new} from f join ix x on x.host_id = f.host_id and x.i = f.i + 1) y) select * from f) select event_id, host_id from f where fired"
 ORACLES["threshold_reset"] = ORACLES["multi_rule_scan"].split(", hits as")[0] + _FOLD.format(

@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from emberline.functions import columns as C
 from emberline.operators import joins
 from emberline.operators.causality import BOUNDARY
-from emberline.plans.rules import Rule, read_fields
+from emberline.plans.rules import HASH_KINDS, Rule, intel_flag, intel_read, read_fields
 
 _c = F.col
+#: Indicators that are known without a table of one's own.
+KNOWN_INTEL = (
+    ("hash", "58593a38d72bb01c5f3b7c844cf19597793b8782a20b72c918a287a93540a931", "Mimikatz", "Credential Stealer", 15),
+    ("hash", "24d004a104d4d54034dbcffc2a4b19a11f39008a575aa614ea04703480b1022c", "WannaCry", "Ransomware", 16),
+    ("hash", "a8e52e4726bf60b7324f6e3a5180f128e08d5aa4a4d6a6bb7c2bc350d32bb584", "Cobalt Strike", "Command & Control Beacon", 15),
+    ("ip", "198.51.100.45", "APT29", "Cobalt Strike C2 Server", 15),
+    ("ip", "203.0.113.88", "LockBit Affiliate", "LockBit Ransomware Exfiltration Gateway", 16),
+)
+INTEL_SCHEMA = "kind string, value string, name string, threat_type string, severity_level int"
 
 
 def _flag(mask: int) -> Column:
@@ -23,7 +32,8 @@ PLAIN = {
     "process.pid": "pid", "process.process_guid": "process_guid", "process.user": "user", "process.file_hash": "sha256", "process.sha256": "sha256", "parent.name": "parent_name", "parent.pid": "ppid",
     "network.direction": "direction", "network.destination_ip": "destination_ip", "network.destination_port": "destination_port", "file.path": "path", "file.previous_path": "previous_path",
     "registry.key_path": "key_path", "registry.value_name": "value_name", "registry.value_data": "value_data", "image.path": "image_path", "image.is_signed": "is_signed", "target.pid": "target_pid",
-    "target.name": "target_name", "remote_thread.start_module": "start_module", "remote_thread.start_function": "start_function", "process_access.call_trace": "call_trace", "dns.query_name": "query_name",
+    "target.name": "target_name", "target.executable": "target_path", "network.protocol": "protocol", "network.source_ip": "source_ip", "network.source_port": "source_port", "image.sha256": "image_sha256", "image.signature_status": "signature_status",
+    "script_block.text_length": "script_length", "script_block.text_sha256": "script_sha256", "process.start_time_ticks": "start_time_ticks", "host.name": "host_name", "dns.query_status": "query_status", "remote_thread.start_module": "start_module", "remote_thread.start_function": "start_function", "process_access.call_trace": "call_trace", "dns.query_name": "query_name",
     "script_block.text": "script_text", "process.image_writer_name": "image_writer_name", "process.image_age_seconds": "image_age_seconds", "process.ancestor_names": "ancestor_names", "process.tree_root_name": "tree_root_name",
 }
 
@@ -40,6 +50,9 @@ def derived(name: str) -> Column | None:
         "process.path_class": lambda: C.path_class(_c("executable")),
         "file.path_class": lambda: C.path_class(_c("path")),
         "image.path_class": lambda: C.path_class(_c("image_path")),
+        "target.path_class": lambda: C.path_class(_c("target_path")),
+        "script_block.evasion_techniques": lambda: F.array_join(C.evasion_techniques(_c("script_text")), ", "),
+        "dns.answers": lambda: F.array_join(C.dns_answers(_c("query_results")), ", "),
         "file.extension": lambda: C.file_extension(_c("path")),
         "file.extension_changed": lambda: C.extension_changed(_c("path"), _c("previous_path")),
         "network.destination_scope": lambda: C.destination_scope(_c("destination_ip")),
@@ -52,6 +65,7 @@ def derived(name: str) -> Column | None:
         "script_block.is_obfuscated": lambda: F.size(C.evasion_techniques(_c("script_text"))) > 0,
         "dns.is_dga": lambda: C.is_generated_domain(_c("query_name")),
         "dns.query_entropy": lambda: F.round(C.entropy(C.second_level(_c("query_name"))), 3),
+        "process.ancestry": lambda: derived("process.lineage"),
         "process.lineage": lambda: F.array_join(F.reverse(F.concat(F.array("process_name"), F.coalesce("ancestor_names", F.array().cast("array<string>")))), " -> "),
     }
     return made[name]() if name in made else None
@@ -87,9 +101,27 @@ def with_image_writer(events: DataFrame) -> DataFrame:
     return got.select(*events.columns, "image_writer_name", "image_age_seconds").unionByName(rest, allowMissingColumns=True)
 
 
-def derive(events: DataFrame, rules: list[Rule]) -> DataFrame:
+def with_intel(events: DataFrame, wanted: set[tuple[str, str]], intel: DataFrame) -> DataFrame:
+    """Adds for each field and kind the flag that in_threat_intel reads, and what is known of it (<flag>:known, JSON). intel: INTEL_SCHEMA.
+
+    A left join with distinct values: Spark broadcasts a small table and shuffles a large one.
+    """
+    for name, is_hash in sorted({(n, k in HASH_KINDS) for n, k in wanted}):
+        column = f"`{name}`" if name in events.columns else PLAIN.get(name, name)
+        if column.strip("`") not in events.columns:
+            continue
+        flag = intel_flag(name, "hash" if is_hash else "ip")
+        value = F.lower("value") if is_hash else F.trim("value")
+        rows = intel.where(F.col("kind") == ("hash" if is_hash else "ip")).groupBy(value.alias("_value")).agg(F.max(F.to_json(F.struct("name", "threat_type", "severity_level"))).alias(f"{flag}:known"))
+        own = F.lower(_c(column).cast("string")) if is_hash else F.trim(_c(column).cast("string"))
+        events = events.withColumn("_own", own).join(rows, F.col("_own") == F.col("_value"), "left").drop("_own", "_value").withColumn(flag, F.col(f"`{flag}:known`").isNotNull())
+    return events
+
+
+def derive(events: DataFrame, rules: list[Rule], intel: DataFrame | None = None) -> DataFrame:
     """Canonical events with one more column for each field that the rules read; a field that nobody knows is null, so that it never matches."""
     wanted = set().union(*[read_fields(r) for r in rules]) if rules else set()
+    looked = intel_read(rules) | ({("process.file_hash", "hash")} if "threat_intel.hash_match" in wanted else set()) | ({("network.destination_ip", "ip")} if "threat_intel.ip_match" in wanted else set())
     if wanted & {"process.image_writer_name", "process.image_age_seconds"}:
         events = with_image_writer(events)
     has_ancestor = any("has_ancestor" in str(r.logic) + str(r.steps) for r in rules)
@@ -99,4 +131,30 @@ def derive(events: DataFrame, rules: list[Rule]) -> DataFrame:
     for name in sorted(wanted - set(events.columns)):
         own = derived(name)
         made[name] = own if own is not None else _c(PLAIN[name]) if PLAIN.get(name) in events.columns else F.lit(None).cast("string")
-    return events.withColumns(made) if made else events
+    events = events.withColumns(made) if made else events
+    if looked:
+        spark = events.sparkSession
+        events = with_intel(events, looked, intel if intel is not None else spark.createDataFrame(list(KNOWN_INTEL), INTEL_SCHEMA))
+        known = {"threat_intel.hash_match": ("process.file_hash", "hash"), "threat_intel.ip_match": ("network.destination_ip", "ip")}
+        for name, at in known.items():
+            column = f"{intel_flag(*at)}:known"
+            if name in wanted and column in events.columns:
+                of = F.col(f"`{column}`")
+                events = events.withColumn(name, F.when(F.col("event_type") == "network_connect", of) if at[1] == "ip" else of)
+        events = events.drop(*[c for c in events.columns if c.startswith("_intel:") and c.endswith(":known")])
+    return events
+
+
+def registry() -> dict[str, list[str]]:
+    """The fields that rules may read: those with a column of their own, and those that are worked out."""
+    import re
+    from inspect import getsource
+
+    made = sorted(set(re.findall(r'"([a-z_]+\.[a-z_]+)": lambda', getsource(derived))))
+    return {"plain": sorted(PLAIN), "derived": [*made, "threat_intel.hash_match", "threat_intel.ip_match"]}
+
+
+def unknown_fields(rules: list[Rule]) -> list[str]:
+    """Fields that rules read and nothing produces, each with its rule."""
+    known = {x for part in registry().values() for x in part}
+    return [f"{r.id}: {f}" for r in rules for f in sorted(read_fields(r)) if f not in known]

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame, written to the shared folder that spark.checkpoint.dir names; a folder of its own only where none is named."""
+    """The frame, written to the shared folder that spark.checkpoint.dir names; a folder of its own only where all runs on one machine."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="emberline-"))
     return df.checkpoint()

@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL."""
 
-from emberline.plans import correlation
+from emberline.plans import correlation, measures, provenance
 from emberline.plans.catalogue import ORACLES, QUERIES, flagship
 
-__all__ = ["ORACLES", "QUERIES", "correlation", "flagship"]
+__all__ = ["ORACLES", "QUERIES", "correlation", "flagship", "measures", "provenance"]

@@ -17,6 +17,9 @@ OPERATORS = ("equals", "not_equals", "contains", "not_contains", "in", "not_in",
 #: Names of the command line, as a column and as a field of rules.
 COMMANDS = ("command_line", "process.command_line")
 KEYS = ("host", "process", "parent", "process_tree", "user")
+#: What may stand in a rule's document, and names of the kinds of threat intelligence.
+ENTRIES = ("id", "name", "description", "status", "event_type", "logic", "type", "level", "severity", "confidence", "mitre", "by", "count", "window", "maxspan", "evidence", "field", "steps", "active_response", "compliance", "tags", "author", "version", "date", "references", "false_positives")
+HASH_KINDS, IP_KINDS = ("hash", "file_hash", "sha256", "md5"), ("ip", "ip_address", "c2")
 NEGATED = ("not_equals", "not_contains", "not_in")
 
 
@@ -34,6 +37,11 @@ class Rule:
     window: float = 0
     evidence: list[str] = field(default_factory=list)
     value_field: str = ""
+    name: str = ""
+    description: str = ""
+    severity: str = "medium"
+    confidence: float = 0.7
+    active_response: str | None = None
     steps: list[tuple[str, dict[str, Any]]] = field(default_factory=list)
 
 
@@ -56,6 +64,44 @@ def spliced(node: Any, lists: dict[str, list]) -> Any:
     return node
 
 
+def intel_flag(field_: str, kind: str) -> str:
+    """Name of the column that says whether a field is known to threat intelligence; fields.derive() makes it."""
+    return f"_intel:{'hash' if kind.lower() in HASH_KINDS else 'ip'}:{field_}"
+
+
+def intel_read(rules: list[Rule]) -> set[tuple[str, str]]:
+    """Fields, with their kind, that the rules look up in threat intelligence."""
+    return {(n["field"], str(n.get("value")).lower()) for r in rules for n in leaves(r) if n["operator"] == "in_threat_intel" and str(n.get("value")).lower() in HASH_KINDS + IP_KINDS}
+
+
+def leaves(rule: Rule) -> list[dict[str, Any]]:
+    """All conditions of a rule."""
+    out: list[dict[str, Any]] = []
+
+    def walk(node: dict[str, Any]) -> None:
+        if "operator" in node:
+            out.append(node)
+        for k in ("all", "any", "none"):
+            for child in node.get(k) or ():
+                walk(child)
+
+    for _, logic in rule.steps or [(rule.event_type, rule.logic)]:
+        walk(logic)
+    return out
+
+
+def all_problems(rules: list[Rule]) -> list[str]:
+    """What is wrong with each rule, and ids that stand twice."""
+    seen: set[str] = set()
+    out = []
+    for r in rules:
+        if r.id in seen:
+            out.append(f"{r.id}: the id stands twice")
+        seen.add(r.id)
+        out += problems(r)
+    return out
+
+
 def problems(rule: Rule) -> list[str]:
     """What is wrong with a rule, by its document alone."""
     out: list[str] = []
@@ -74,6 +120,14 @@ def problems(rule: Rule) -> list[str]:
                     re.compile(str(value))
                 except re.error as x:
                     out.append(f"{rule.id}: {x}")
+            if op == "cidr":
+                for b in value if isinstance(value, list) else [value]:
+                    try:
+                        C.block(b)
+                    except ValueError as x:
+                        out.append(f"{rule.id}: {x}")
+            if op == "in_threat_intel" and str(value).lower() not in HASH_KINDS + IP_KINDS:
+                out.append(f"{rule.id}: unknown kind of threat intelligence {value!r}")
             return
         if not any(node.get(k) for k in ("all", "any", "none")):
             out.append(f"{rule.id}: empty block")
@@ -87,6 +141,11 @@ def problems(rule: Rule) -> list[str]:
         out.append(f"{rule.id}: unknown type {rule.type}")
     elif rule.type != "single" and not (rule.by and rule.window > 0):
         out.append(f"{rule.id}: {rule.type} needs a key and a window")
+    out.extend(f"{rule.id}: no key {b!r}" for b in rule.by if b not in KEYS and not re.fullmatch(r"[a-z_]+(\.[a-z_]+)+|[a-z_]+", b))
+    if not 0 <= rule.level <= 16:
+        out.append(f"{rule.id}: a level is 0 to 16")
+    if not 0 <= rule.confidence <= 1:
+        out.append(f"{rule.id}: a confidence is 0 to 1")
     if rule.type == "sequence" and not 2 <= len(rule.steps) <= 8:
         out.append(f"{rule.id}: a sequence has 2 to 8 steps")
     if rule.type == "value_count" and not rule.value_field:
@@ -107,7 +166,7 @@ def read_fields(rule: Rule) -> set[str]:
 
     for _, logic in rule.steps or [(rule.event_type, rule.logic)]:
         walk(logic)
-    return found
+    return found | {e for e in rule.evidence}
 
 
 def load(folder: str) -> list[Rule]:
@@ -126,8 +185,11 @@ def load(folder: str) -> list[Rule]:
         d = spliced(yaml.safe_load(p.read_text()), lists)
         if d.get("status", "enabled") != "enabled":
             continue
+        unknown = set(d) - set(ENTRIES)
+        if unknown:
+            raise ValueError(f"{p}: unknown entries {sorted(unknown)}")
         mitre, by = d.get("mitre") or {}, d.get("by") or []
-        out.append(Rule(d["id"], d.get("event_type", ""), d.get("logic") or {}, d.get("type", "single"), d.get("level", 5), mitre.get("tactic", ""), mitre.get("technique", ""), [by] if isinstance(by, str) else by, d.get("count", 1), seconds(d.get("window", d.get("maxspan"))) if "window" in d or "maxspan" in d else 0, d.get("evidence") or [], d.get("field", ""), [(x["event_type"], x.get("logic") or {}) for x in d.get("steps") or ()]))
+        out.append(Rule(d["id"], d.get("event_type", ""), d.get("logic") or {}, d.get("type", "single"), d.get("level", 5), mitre.get("tactic", ""), mitre.get("technique", ""), [by] if isinstance(by, str) else by, d.get("count", 1), seconds(d.get("window", d.get("maxspan"))) if "window" in d or "maxspan" in d else 0, d.get("evidence") or [], d.get("field", ""), d.get("name", ""), d.get("description", ""), str(d.get("severity", "medium")), float(d.get("confidence", 0.7)), d.get("active_response"), [(x["event_type"], x.get("logic") or {}) for x in d.get("steps") or ()]))
     return out
 
 
@@ -166,7 +228,7 @@ def leaf(node: dict[str, Any], plain: Column | None = None) -> Column:
                 number = F.expr(f"try_cast(`{node['field']}` as double)")
                 return number > float(value) if op == "greater_than" else number < float(value)
             case "cidr":
-                return reduce(lambda a, b: a | b, [C.ipv4(col).between(*C.block(b)) for b in (value if isinstance(value, list) else [value])])
+                return C.in_blocks(col.cast("string"), value if isinstance(value, list) else [value])
             case "windash":
                 return col.cast("string").rlike(r"(?i)(?:^|\s)[-/]" + re.escape(str(value).lstrip("-/")) + r"(?:\s|$|:|=)")
             case "exists":
@@ -174,7 +236,7 @@ def leaf(node: dict[str, Any], plain: Column | None = None) -> Column:
             case "has_ancestor":
                 return F.exists(F.col("ancestor_names"), lambda x: F.lower(x).isin([str(v).lower() for v in value]))
             case "in_threat_intel":
-                return F.col("threat_intel")
+                return F.col(f"`{intel_flag(node['field'], str(value))}`") if str(value).lower() in HASH_KINDS + IP_KINDS else F.lit(False)
             case "entropy_greater_than":
                 return F.round(C.entropy(col.cast("string")), 3) >= float(value)
         raise ValueError(op)
@@ -199,23 +261,66 @@ def condition(node: dict[str, Any], plain: Column | None = None) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
+def shown(value: Any) -> str:
+    """A rule's value as text; of a long list the first six."""
+    return str([*value[:6], "..."] if isinstance(value, list) and len(value) > 6 else value)
+
+
 def trace(node: dict[str, Any], plain: Column | None = None) -> Column:
     """Texts of the conditions that made a tree true: every one of `all`, the first true one of `any`."""
-    said = lambda x: F.when(condition(x, plain), F.lit(f"{x['field']} {x['operator']} {x.get('value')}"[:160])) if "operator" in x else F.array_join(trace(x, plain), "; ")
+    said = lambda x: F.when(condition(x, plain), F.lit(f"{x['field']} {x['operator']} {shown(x.get('value'))}"[:160])) if "operator" in x else F.array_join(trace(x, plain), "; ")
     parts = [said(x) for x in node.get("all") or ()]
     if node.get("any"):
         parts.append(F.coalesce(*[F.when(condition(x, plain), said(x)) for x in node["any"]]))
     return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
 
 
-def scan(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """event_id, rule_id, level, tactic, matched: one row for each rule that an event meets, by one pass over the events."""
+def evidence(rule: Rule, columns: list[str]) -> Column:
+    """The values of a rule's evidence fields that are there, as a map; a long text is cut."""
+    there = [e for e in rule.evidence if e in columns]
+    if not there:
+        return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.map_filter(F.map_from_arrays(F.array(*[F.lit(e) for e in there]), F.array(*[F.col(f"`{e}`").cast("string") for e in there])), lambda _, v: v.isNotNull())
+
+
+def sound(events: DataFrame, rules: list[Rule], errors: dict[str, str] | None = None) -> list[Rule]:
+    """The single-event rules that can be planned over these events; what is wrong with others goes to errors, by id, and stops no other rule."""
+    out = []
+    java = events.sparkSession._jvm.java.util.regex.Pattern
+    for r in rules:
+        if r.type != "single":
+            continue
+        try:
+            for n in leaves(r):
+                if n["operator"] == "regex":
+                    java.compile(str(n["value"]))
+            events.select(condition(r.logic).alias("c")).schema  # noqa: B018  plans, and runs nothing
+        except Exception as x:  # noqa: BLE001  whatever a rule does wrong is its own
+            if errors is not None:
+                errors[r.id] = str(x).splitlines()[0]
+            continue
+        out.append(r)
+    return out
+
+
+def scan(events: DataFrame, rules: list[Rule], errors: dict[str, str] | None = None) -> DataFrame:
+    """The events' columns and rule_id, level, tactic, matched and evidence: one row for each rule that an event meets, by one pass over the events.
+
+    With errors, a rule that cannot be planned is left out and told there.
+    """
+    for name, kind in intel_read(rules):
+        if intel_flag(name, kind) not in events.columns:  # nothing was looked up
+            events = events.withColumn(intel_flag(name, kind), F.lit(False))
+    if errors is not None:
+        rules = sound(events, rules, errors)
     plain = None
-    columns = events.columns
+    columns = [c for c in events.columns if not c.startswith("_intel:")]
     command = next((c for c in COMMANDS if c in columns), None)
     if command:  # worked out once for all rules
         events, plain = events.withColumn("_plain", C.deobfuscated(F.col(f"`{command}`"))), F.col("_plain")
-    hits = [F.when((F.col("event_type") == r.event_type) & condition(r.logic, plain), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.level).alias("level"), F.lit(r.tactic).alias("tactic"), F.array_join(trace(r.logic, plain), " & ").alias("matched"))) for r in rules if r.type == "single"]
+    hits = [F.when((F.col("event_type") == r.event_type) & condition(r.logic, plain), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.level).alias("level"), F.lit(r.tactic).alias("tactic"), F.array_join(trace(r.logic, plain), " & ").alias("matched"), evidence(r, columns).alias("evidence"))) for r in rules if r.type == "single"]
+    if not hits:
+        return events.select(*[F.col(f"`{c}`") for c in columns], *[F.lit(None).cast(t).alias(c) for c, t in (("rule_id", "string"), ("level", "int"), ("tactic", "string"), ("matched", "string"), ("evidence", "map<string,string>"))]).where("false")
     # outer, and filtered behind: a filter in front, as the optimizer infers it of explode, works all rules out once more
     return events.select("*", F.explode_outer(F.array_compact(F.array(*hits))).alias("hit")).where("hit is not null").select(*[F.col(f"`{c}`") for c in columns], "hit.*")
 

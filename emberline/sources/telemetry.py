@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 #: Shape of one wire event; never inferred.
 WIRE = (
-    "event struct<id:string,category:string,type:string,timestamp:string>, host struct<id:string,hostname:string>, user struct<name:string,domain:string>, "
-    "process struct<entity_id:string,pid:bigint,name:string,executable:string,command_line:string,parent:struct<pid:bigint,name:string,executable:string>,hash:struct<sha256:string>,sha256:string>, "
-    "network struct<direction:string,protocol:string,destination_ip:string,destination_port:bigint,dst_ip:string,dst_port:bigint,initiated:boolean>, file struct<operation:string,path:string,previous_path:string>, "
-    "registry struct<operation:string,key_path:string,key:string,target_object:string,value_name:string,value_data:string>, dns struct<query_name:string,query_results:string>, "
-    "image_load struct<path:string,image_loaded:string,is_signed:boolean,signed:boolean>, image struct<path:string,image_loaded:string,is_signed:boolean,signed:boolean>, "
+    "schema_version string, event struct<id:string,category:string,type:string,timestamp:string>, source struct<kind:string,provider:string,channel:string,record_id:string>, agent struct<id:string,version:string>, raw struct<host_id:string>, host struct<id:string,hostname:string>, user struct<name:string,domain:string>, "
+    "process struct<entity_id:string,start_time_ticks:bigint,pid:bigint,name:string,executable:string,command_line:string,parent:struct<pid:bigint,name:string,executable:string>,hash:struct<sha256:string>,sha256:string>, "
+    "network struct<direction:string,protocol:string,destination_ip:string,destination_port:bigint,dst_ip:string,dst_port:bigint,source_ip:string,source_port:bigint,src_ip:string,src_port:bigint,initiated:boolean>, file struct<operation:string,path:string,previous_path:string>, "
+    "registry struct<operation:string,key_path:string,key:string,target_object:string,value_name:string,value_data:string>, dns struct<query_name:string,query_results:string,query_status:bigint>, "
+    "image_load struct<path:string,image_loaded:string,is_signed:boolean,signed:boolean,sha256:string,signature_status:string>, image struct<path:string,image_loaded:string,is_signed:boolean,signed:boolean,sha256:string,signature_status:string>, "
     "process_access struct<target:struct<pid:bigint,executable:string>,granted_access:string,call_trace:string>, "
-    "remote_thread struct<target:struct<pid:bigint,executable:string>,start_module:string,start_function:string>, script_block struct<text:string,path:string>"
+    "remote_thread struct<target:struct<pid:bigint,executable:string>,start_module:string,start_function:string>, script_block struct<text:string,path:string,script_block_id:string,message_number:bigint,text_length:bigint,text_sha256:string>"
 )
 
 _CASE = lambda key, values: f"case {key} " + " ".join(f"when {i} then {v}" for i, v in enumerate(values)) + " end"
@@ -74,7 +74,7 @@ def canonical(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event.id").alias("event_id"),
         F.try_to_timestamp("event.timestamp").alias("ts"),
-        F.coalesce(some("host.id"), some("host.hostname"), F.lit("UNKNOWN_HOST")).alias("host_id"),
+        F.coalesce(some("host.id"), some("host.hostname"), some("raw.host_id"), F.lit("UNKNOWN_HOST")).alias("host_id"),
         event_type.alias("event_type"),
         F.col("process.pid").alias("pid"),
         F.coalesce(some("process.name"), base("process.executable")).alias("process_name"),
@@ -103,4 +103,38 @@ def canonical(events: DataFrame) -> DataFrame:
         F.col("remote_thread.start_module").alias("start_module"),
         F.col("remote_thread.start_function").alias("start_function"),
         F.col("script_block.text").alias("script_text"),
+        F.coalesce(some("host.hostname"), some("host.id")).alias("host_name"),
+        F.coalesce(F.col("source.kind"), F.lit("agent")).alias("source_kind"),
+        F.col("agent.version").alias("agent_version"),
+        F.when(F.col("process.start_time_ticks") > 0, F.col("process.start_time_ticks")).alias("start_time_ticks"),
+        F.lower("network.protocol").alias("protocol"),
+        some("network.source_ip", "network.src_ip").alias("source_ip"),
+        F.coalesce("network.source_port", "network.src_port").alias("source_port"),
+        F.coalesce("image_load.sha256", "image.sha256").alias("image_sha256"),
+        F.coalesce("image_load.signature_status", "image.signature_status").alias("signature_status"),
+        F.col("dns.query_results").alias("query_results"),
+        F.col("dns.query_status").alias("query_status"),
+        F.coalesce("process_access.target.executable", "remote_thread.target.executable").alias("target_path"),
+        F.col("script_block.script_block_id").alias("script_block_id"),
+        F.col("script_block.message_number").alias("message_number"),
+        F.coalesce("script_block.text_length", F.length("script_block.text")).alias("script_length"),
+        F.coalesce("script_block.text_sha256", F.when(F.col("script_block.text").isNotNull(), F.sha2(F.col("script_block.text").cast("binary"), 256))).alias("script_sha256"),
     )
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """Wire lines (value) of rows with event_id, event_type, host_id, pid, ppid, us, process_name, command_line, path, destination_ip, destination_port and query_name."""
+    category = F.when(F.startswith("event_type", F.lit("file")), "file").when(F.col("event_type") == "network_connect", "network").when(F.col("event_type") == "dns_query", "dns").when(F.startswith("event_type", F.lit("registry")), "registry").otherwise("process")
+    kind = F.when(F.col("event_type") == "process_create", "start").when(F.col("event_type") == "process_terminate", "stop").otherwise(F.regexp_replace("event_type", "^[a-z]+_", ""))
+    when = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    document = F.struct(
+        F.lit("0.5").alias("schema_version"),
+        F.struct(F.col("event_id").cast("string").alias("id"), category.alias("category"), kind.alias("type"), when.alias("timestamp")).alias("event"),
+        F.struct(F.col("host_id").alias("id")).alias("host"),
+        F.struct("pid", F.col("process_name").alias("name"), "command_line", F.col("path").alias("executable"), F.struct(F.col("ppid").alias("pid")).alias("parent")).alias("process"),
+        F.when(category == "network", F.struct("destination_ip", "destination_port")).alias("network"),
+        F.when(category == "file", F.struct(F.regexp_replace("event_type", "^file_", "").alias("operation"), "path")).alias("file"),
+        F.when(category == "registry", F.struct(F.col("path").alias("key_path"))).alias("registry"),
+        F.when(category == "dns", F.struct("query_name")).alias("dns"),
+    )
+    return rows.select(F.to_json(document).alias("value"))
