@@ -168,9 +168,15 @@ put("behaviour_bits", lambda s, d: PR.bit_objects(parts(s, d)[3]).select("node_i
 put("bit_checkpoints", lambda s, d: PR.first_bits(parts(s, d)[3]).select("node_id", "bit", "us"), _BITS + "select node_id, bit, us from (select node_id, bit, min(us) as us, row_number() over (partition by node_id order by min(us), bit) as p from bt group by node_id, bit) where p <= 8")
 
 
+_recorded: dict[int, DataFrame] = {}
+
+
 def records(s: SparkSession, d: str) -> DataFrame:
     _, _, runs, edges = parts(s, d)
-    return PR.records(runs, edges, PR.image_writes(runs, edges))
+    if id(runs) not in _recorded:
+        _recorded.clear()
+        _recorded[id(runs)] = cut(PR.records(runs, edges, PR.image_writes(runs, edges)))
+    return _recorded[id(runs)]
 
 
 _WRITES = ", wr as (select r.node_id, arg_max(e.src, (e.us, e.edge_id)) as writer, max(e.us) as since from runs r join ed e on e.kind in ('wrote', 'renamed') and e.dst = " + _FILE.format("r", "r.executable") + " where r.executable <> '' and e.us <= r.start_us and e.src <> r.node_id group by r.node_id) "

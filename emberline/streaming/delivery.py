@@ -150,7 +150,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str | None = Non
 def detect(events: DataFrame, rule: Rule, delay: str = "10 minutes", idle: int = 86_400_000) -> DataFrame:
     """rule_id, event_id, host_id, us and key of the events with which a rule over many events fires, on a stream.
 
-    The kernels are those of the batch path. A batch's events of a key are folded in order of time; state that is idle for `idle` ms goes.
+    The kernels are those of the batch path. A batch's events of a key are folded in order of time; state that is idle for `idle` ms of event time goes.
     """
     from emberline.operators.detectors import key_of
     from emberline.plans.rules import condition
@@ -178,10 +178,10 @@ def detect(events: DataFrame, rule: Rule, delay: str = "10 minutes", idle: int =
             if fired:
                 out.append((rule_id, row.event_id, row.host_id, us, key[0]))
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutTimestamp(max(us // 1000, state.getCurrentWatermarkMs()) + idle)
         yield pd.DataFrame(out, columns=["rule_id", "event_id", "host_id", "us", "key"])
 
-    return rows.groupBy("key").applyInPandasWithState(fold, "rule_id string, event_id string, host_id string, us long, key string", "held string", "append", "ProcessingTimeTimeout")
+    return rows.groupBy("key").applyInPandasWithState(fold, "rule_id string, event_id string, host_id string, us long, key string", "held string", "append", "EventTimeTimeout")
 
 
 def live(command: list[str], landing: str, lines_a_file: int = 1_000, most_events: int | None = None, seconds: float | None = None) -> int:
