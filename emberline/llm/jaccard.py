@@ -36,13 +36,13 @@ FREQUENT, LEVEL = 8, 4
 COUNTED = 2_000_000
 #: Ratio of the limits of a class of set sizes: sets that link are of one class or of neighbouring ones, so a little over 4 / 3.
 CLASS = 1.34
-#: Sets of an open list, about, that are held against one of them.
-DRAWN = 32
+#: Sets of a longer list, about, that are held against one of them.
+DRAWN = 16
 #: Bits of the filters that go to all tasks: 4 MB for each of three levels and 2 MB. More frequent shingles than a sixteenth of it raise FREQUENT.
 FREQUENT_BITS, WANTED_BITS = 25, 24
 
 #: What sets that meet in a list must have left, and by how much their sketches may differ, if they link.
-MAY_LINK = f"{WHOLE} * least(room, room_b) >= {PART} * (n + n_b) and {WHOLE} * ({' + '.join(f'bit_count(sketch[{i}] ^ sketch_b[{i}])' for i in range(4))}) <= {WHOLE - 2 * PART} * (n + n_b)"
+MAY_LINK = f"{WHOLE} * least(room, room_b) >= {PART} * (n + n_b) and {WHOLE} * coalesce({' + '.join(f'bit_count(sketch[{i}] ^ sketch_b[{i}])' for i in range(4))}, 0) <= {WHOLE - 2 * PART} * (n + n_b)"
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -286,6 +286,11 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(WHOLE * shared >= PART * (F.size("s_a") + F.size("s_b"))).select("a", "b")
 
 
+def _long(lists_: DataFrame) -> DataFrame:
+    """Postings of lists of more than DRAWN; in shorter ones all pairs are few."""
+    return lists_.join(lists_.groupBy("h").agg(F.count("*").alias("k")).where(f"k > {DRAWN}").select("h"), "h", "left_semi")
+
+
 def _open(lists_: DataFrame, first: DataFrame, reps: DataFrame) -> DataFrame:
     """sig, c (its component), n, sketch, taken (how many first shingles), end (the last of them) and hs: those that other components have, too, in the common order, with the lengths of their lists and their places."""
     flipped = lambda x: x.bitwiseXOR(F.lit(-(2**63)))  # noqa: E731  unsigned order
@@ -296,14 +301,14 @@ def _open(lists_: DataFrame, first: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _postings(open_: DataFrame) -> DataFrame:
-    """h, k, class (of size), sig, c, n, sketch and room: what a set has from a shingle on, in the common order.
+    """h, k, class (of size), sig, c, n, sketch (in lists of more than DRAWN only, as it is wide) and room: what a set has from a shingle on, in the common order.
 
     A pair is met in the list of the first shingle that it shares: nothing before it is shared, so there both rooms must be enough to link with a
     set of the other's size.
     """
     size = F.floor(F.log(F.col("n")) / F.log(F.lit(CLASS))).cast("int")
     rows = open_.select("sig", "c", "n", "sketch", size.alias("class"), F.explode("hs").alias("x"))
-    return rows.select("x.h", "x.k", "class", "sig", "c", "n", "sketch", (F.col("n") - F.col("x.p")).alias("room")).where("4 * room >= 3 * n")
+    return rows.select("x.h", "x.k", "class", "sig", "c", "n", F.when(F.col("x.k") > DRAWN, F.col("sketch")).alias("sketch"), (F.col("n") - F.col("x.p")).alias("room")).where("4 * room >= 3 * n")
 
 
 def _drawn(open_: DataFrame) -> DataFrame:
@@ -353,7 +358,7 @@ def groups(df: DataFrame) -> DataFrame:
     links = checkpointed(links)
     first = components(links)
     # A group of near copies is not always joined by one member of its lists, so open lists are held against several, drawn by hash, ...
-    links = checkpointed(links.unionByName(_verified(docs, reps, checkpointed(_drawn(_open(lists_, first, reps))))))
+    links = checkpointed(links.unionByName(_verified(docs, reps, checkpointed(_drawn(_open(_long(lists_), first, reps))))))
     first = components(links)
     # ... and then only members of different components are compared, pair by pair.
     rest = checkpointed(_across(_open(lists_, first, reps)))
