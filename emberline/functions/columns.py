@@ -99,32 +99,37 @@ def block(cidr: str) -> tuple[int, int]:
     return int(net.network_address), int(net.broadcast_address)
 
 
-def within(address: Column, cidr: str) -> Column:
-    """Whether an address is in a block; one of the other family is not."""
-    low, high = block(cidr)
-    if ":" in str(cidr):
-        return F.coalesce(ipv6(address).between(f"{low:032x}", f"{high:032x}"), F.lit(False))
-    return F.coalesce(ipv4(address).between(low, high), F.lit(False))
-
-
 def in_blocks(address: Column, blocks: list) -> Column:
-    """Whether an address is in one of the blocks, tried in order: a malformed block ends the search without a hit."""
-    good = []
+    """Whether an address is in one of the blocks, tried in order: a malformed block ends the search without a hit. Blocks of the other family hold nothing."""
+    four, six = [], []
     for b in blocks:
         try:
-            block(b)
+            low, high = block(b)
         except ValueError:
             break
-        good.append(within(address, b))
-    return _any(good) if good else F.lit(False)
+        if ":" in str(b):
+            six.append((f"{low:032x}", f"{high:032x}"))
+        else:
+            four.append((low, high))
+    found = F.lit(False)
+    for known, ends in ((ipv4(address), four), (ipv6(address), six)):
+        if ends:
+            found = found | F.coalesce(bound(known, _among(ends)), F.lit(False))
+    return found
+
+
+def _among(ends: list) -> Callable[[Column], Column]:
+    return lambda n: _any([n.between(*e) for e in ends])
 
 
 def destination_scope(address: Column) -> Column:
     """public, private, loopback, link_local, multicast or reserved; unknown if it is no address. An IPv4 address mapped into IPv6 counts as such."""
     six = F.when(F.contains(address, F.lit(":")), ipv6(address))
 
-    def scope(six: Column) -> Column:
-        n = F.when(F.startswith(six, F.lit("0" * 20 + "ffff")), F.conv(F.substr(six, F.lit(25)), 16, 10).cast("bigint")).otherwise(ipv4(address))
+    def number(six: Column) -> Column:
+        return F.when(F.startswith(six, F.lit("0" * 20 + "ffff")), F.conv(F.substr(six, F.lit(25)), 16, 10).cast("bigint")).otherwise(ipv4(address))
+
+    def scope(six: Column, n: Column) -> Column:
         out = F.when(address.isNull() | (address == ""), None)
         out = out.when(n.isNull() & six.isNull(), "unknown")
         for name, blocks in SCOPES:
@@ -134,7 +139,7 @@ def destination_scope(address: Column) -> Column:
             out = out.when(_any([six.between(*(f"{x:032x}" for x in block(b))) for b in blocks]), name)
         return out.otherwise("public")
 
-    return bound(six, scope)
+    return bound(six, lambda x: bound(number(x), lambda n: scope(x, n)))
 
 
 def entropy(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 from functools import reduce
@@ -250,28 +251,32 @@ def leaf(node: dict[str, Any], plain: Column | None = None) -> Column:
     return out
 
 
-def condition(node: dict[str, Any], plain: Column | None = None) -> Column:
-    """All of `all`, one of `any` and none of `none`."""
+def condition(node: dict[str, Any], plain: Column | None = None, ready: dict[str, Column] | None = None) -> Column:
+    """All of `all`, one of `any` and none of `none`. ready: conditions that are columns already, by key_of_leaf()."""
     if "operator" in node:
-        return leaf(node, plain)
-    parts = [condition(x, plain) for x in node.get("all") or ()]
+        return ready[key_of_leaf(node)] if ready else leaf(node, plain)
+    parts = [condition(x, plain, ready) for x in node.get("all") or ()]
     if node.get("any"):
-        parts.append(reduce(lambda a, b: a | b, [condition(x, plain) for x in node["any"]]))
-    parts += [~condition(x, plain) for x in node.get("none") or ()]
+        parts.append(reduce(lambda a, b: a | b, [condition(x, plain, ready) for x in node["any"]]))
+    parts += [~condition(x, plain, ready) for x in node.get("none") or ()]
     return reduce(lambda a, b: a & b, parts)
 
 
+def key_of_leaf(node: dict[str, Any]) -> str:
+    return json.dumps(node, sort_keys=True, default=str)
+
+
 def shown(value: Any) -> str:
     """A rule's value as text; of a long list the first six."""
     return str([*value[:6], "..."] if isinstance(value, list) and len(value) > 6 else value)
 
 
-def trace(node: dict[str, Any], plain: Column | None = None) -> Column:
+def trace(node: dict[str, Any], ready: dict[str, Column] | None = None) -> Column:
     """Texts of the conditions that made a tree true: every one of `all`, the first true one of `any`."""
-    said = lambda x: F.when(condition(x, plain), F.lit(f"{x['field']} {x['operator']} {shown(x.get('value'))}"[:160])) if "operator" in x else F.array_join(trace(x, plain), "; ")
+    said = lambda x: F.when(condition(x, None, ready), F.lit(f"{x['field']} {x['operator']} {shown(x.get('value'))}"[:160])) if "operator" in x else F.array_join(trace(x, ready), "; ")
     parts = [said(x) for x in node.get("all") or ()]
     if node.get("any"):
-        parts.append(F.coalesce(*[F.when(condition(x, plain), said(x)) for x in node["any"]]))
+        parts.append(F.coalesce(*[F.when(condition(x, None, ready), said(x)) for x in node["any"]]))
     return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
 
 
@@ -315,10 +320,17 @@ def scan(events: DataFrame, rules: list[Rule], errors: dict[str, str] | None = N
         rules = sound(events, rules, errors)
     plain = None
     columns = [c for c in events.columns if not c.startswith("_intel:")]
+    rules = [r for r in rules if r.type == "single"]
     command = next((c for c in COMMANDS if c in columns), None)
     if command:  # worked out once for all rules
         events, plain = events.withColumn("_plain", C.deobfuscated(F.col(f"`{command}`"))), F.col("_plain")
-    hits = [F.when((F.col("event_type") == r.event_type) & condition(r.logic, plain), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.level).alias("level"), F.lit(r.tactic).alias("tactic"), F.array_join(trace(r.logic, plain), " & ").alias("matched"), evidence(r, columns).alias("evidence"))) for r in rules if r.type == "single"]
+    # each distinct condition is one column, over which rules and traces are written
+    distinct = {key_of_leaf(n): n for r in rules for n in leaves(r)}
+    names = {k: f"_c{i}" for i, k in enumerate(distinct)}
+    if distinct:
+        events = events.withColumns({names[k]: leaf(n, plain) for k, n in distinct.items()})
+    ready = {k: F.col(n) for k, n in names.items()}
+    hits = [F.when((F.col("event_type") == r.event_type) & condition(r.logic, None, ready), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.level).alias("level"), F.lit(r.tactic).alias("tactic"), F.array_join(trace(r.logic, ready), " & ").alias("matched"), evidence(r, columns).alias("evidence"))) for r in rules]
     if not hits:
         return events.select(*[F.col(f"`{c}`") for c in columns], *[F.lit(None).cast(t).alias(c) for c, t in (("rule_id", "string"), ("level", "int"), ("tactic", "string"), ("matched", "string"), ("evidence", "map<string,string>"))]).where("false")
     # outer, and filtered behind: a filter in front, as the optimizer infers it of explode, works all rules out once more
