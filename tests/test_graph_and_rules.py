@@ -342,3 +342,13 @@ def test_rows_of_a_package_leave_out_the_collector(spark):
     frame = spark.createDataFrame(records, "kind string, category string, data string, self boolean, observed_at string, record_id string")
     got, counts = rows.agent_rows(frame, "x")
     assert [r.row_id for r in got.collect()] == ["e4"] and {r.what: r.n for r in counts.collect()} == {"self_tagged": 1, "self_children": 2, "twin": 1, "twin_unpaired": 1, "rows": 1}
+
+
+def test_process_without_a_name_is_not_labelled_by_what_opened_it(spark):
+    row = lambda us, kind, pid, **more: {"event_id": str(us), "event_type": kind, "host_id": "h", "us": us, "pid": pid, "ppid": None, "process_name": None, "target_pid": None, "target_path": None} | more
+    rows = [row(10 * SECOND, "process_create", 2, ppid=1, process_name="a.exe"), row(11 * SECOND, "process_access", 2, process_name="a.exe", target_pid=1, target_path="C:/x/lsass.exe")]
+    events = spark.createDataFrame(rows, "event_id string, event_type string, host_id string, us long, pid long, ppid long, process_name string, target_pid long, target_path string")
+    found = ID.resolved(events)
+    runs = ID.incarnations(found)
+    edges = GR.edges(GR.with_nodes(events, found), runs)
+    assert {r.attrs["pid"]: (r.kind, r.label) for r in GR.nodes(edges, runs).collect()} == {"1": ("process", None), "2": ("process", "a.exe")}
