@@ -352,3 +352,20 @@ def test_process_without_a_name_is_not_labelled_by_what_opened_it(spark):
     runs = ID.incarnations(found)
     edges = GR.edges(GR.with_nodes(events, found), runs)
     assert {r.attrs["pid"]: (r.kind, r.label) for r in GR.nodes(edges, runs).collect()} == {"1": ("process", None), "2": ("process", "a.exe")}
+
+
+def test_folds_are_given_nulls_as_nulls(spark):
+    from emberline.operators import stateful as S
+    from emberline.operators import storyline as T
+
+    far = 2**60 + 1
+    rows = spark.createDataFrame([("h", 1, None, None), ("h", 2, far, 0.25)], "k string, us long, n long, x double")
+    got = S.folded(rows, ["k"], ["us"], None, lambda state, row: (state, {"us": row.us, "n": row.n, "x": row.x, "nulls": (row.n is None) + (row.x is None)}), "us long, n long, x double, nulls long")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, None, None, 2), (2, far, 0.25, 0)]
+
+    def step(state, row):
+        state, made = T.incident(state, {"us": row.us, "event_id": "e", "rule_id": f"r{row.us}", "actor": "a", "level": 14, "tactic": "Impact" if row.us > 1 else "Discovery", "context": row.x, "scope": []})
+        return state, {"score": made["score"], "band": made["band"]} if made else None
+
+    unknown = rows.where("n is null").unionByName(rows.selectExpr("k", "us + 1 as us", "n", "cast(null as double) as x").where("us = 2"))
+    assert [tuple(r) for r in S.folded(unknown, ["k"], ["us"], {}, step, "score double, band string").collect()] == [(0.514, "medium")]
