@@ -369,3 +369,19 @@ def test_folds_are_given_nulls_as_nulls(spark):
 
     unknown = rows.where("n is null").unionByName(rows.selectExpr("k", "us + 1 as us", "n", "cast(null as double) as x").where("us = 2"))
     assert [tuple(r) for r in S.folded(unknown, ["k"], ["us"], {}, step, "score double, band string").collect()] == [(0.514, "medium")]
+
+
+def test_last_other_writer_of_an_image_without_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    runs = [(f"proc_{i}", "h", f"c:/{'ab'[i % 2]}.exe", int(rng.integers(0, 40)), f"n{i}") for i in range(12)]
+    writes = [("e_%03d" % i, "wrote" if i % 3 else "renamed", f"proc_{rng.integers(0, 12)}", f"c:/{'ab'[rng.integers(0, 2)]}.exe", int(rng.integers(0, 40))) for i in range(60)]
+    r = spark.createDataFrame(runs, "node_id string, host_id string, executable string, start_us long, name string")
+    w = spark.createDataFrame(writes, "edge_id string, kind string, src string, path string, us long").withColumn("dst", GR.entity("file", F.lit("h"), F.col("path")))
+    want = {}
+    for node, _, image, at, _ in runs:
+        before = [(us, edge, src) for edge, _, src, path, us in writes if path == image and us <= at and src != node]
+        if before:
+            want[node] = (f"n{max(before)[2][5:]}", round((at - max(before)[0]) / 1e6, 6))
+    got = PR.image_writes(r, w)
+    assert {x.node_id: (x.image_writer_name, x.image_age_seconds) for x in got.collect()} == want and 6 < len(want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # that of names; none by file
