@@ -385,3 +385,12 @@ def test_last_other_writer_of_an_image_without_all_pairs(spark):
     got = PR.image_writes(r, w)
     assert {x.node_id: (x.image_writer_name, x.image_age_seconds) for x in got.collect()} == want and 6 < len(want)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # that of names; none by file
+
+
+def test_facts_go_only_with_what_opens_or_reports_a_run(spark):
+    rows = [("1", "process_create", 10 * SECOND, "a.exe"), ("2", "file_create", 11 * SECOND, "a.exe"), ("2", "file_create", 11 * SECOND, "a.exe")]
+    events = spark.createDataFrame(rows, "event_id string, event_type string, us long, process_name string").selectExpr("*", "'h' as host_id", "5L as pid", "cast(null as long) as ppid", "'c:/x' as path")
+    found = ID.resolved(events)
+    assert {(r.event_id, r.facts is None, r.name) for r in found.collect()} == {("1", False, "a.exe"), ("2", True, None)}
+    runs = ID.incarnations(found)
+    assert [r.kind for r in GR.edges(GR.with_nodes(events, found), runs).collect()] == ["wrote"]  # an event that comes twice has one edge
