@@ -324,7 +324,20 @@ def remove(df: DataFrame, length: int = LENGTH) -> DataFrame:
     Takes doc_id and text; other columns pass through, and columns named kept or removed are replaced.
     """
     docs = keyed(df.drop("kept", "removed"))
-    joined = docs.join(spans(docs, length), ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    found = checkpointed(spans(docs, length))
+    # Texts go to their spans only where there may be some; the filter is of fixed size, and what it lets through for nothing finds none.
+    filter_ = df.sparkSession.sparkContext.broadcast(bitmap(found.select(F.shiftrightunsigned(F.xxhash64("_k2"), 64 - WANTED_BITS).alias("slot")), WANTED_BITS))
+    marked, names = docs.withColumn("_slot", F.xxhash64("_k2")), docs.columns
+
+    def where(lost: bool) -> DataFrame:
+        def some(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            at = hit(filter_.value, np.asarray(batch.column(batch.schema.get_field_index("_slot"))).view(np.uint64), WANTED_BITS)
+            keep = pa.array(at if lost else ~at)
+            return {k: batch.column(batch.schema.get_field_index(k)).filter(keep) for k in names}
+
+        return rows_from(marked, some, docs.schema, "text")
+
+    joined = where(True).join(found, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     pair = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
     def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -341,6 +354,7 @@ def remove(df: DataFrame, length: int = LENGTH) -> DataFrame:
             removed.append([{"first": a, "end": b} for a, b in gone])
         return {"kept": pa.array(kept, pa.binary()), "removed": pa.array(removed, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))}
 
+    joined = joined.unionByName(where(False).drop("_k1", "_k2"), allowMissingColumns=True)
     return with_columns(joined, kernel, [T.StructField("kept", T.BinaryType()), T.StructField("removed", pair)], "text").drop("ranges")
 
 

@@ -268,3 +268,19 @@ def test_stages_with_odd_rows(spark):
         assert stage(spark, odd.where("false"), "").count() == 0, name
     packed = corpus.pack(spark, odd, "").collect()
     assert len({r.doc_id for r in packed}) == 6 and corpus.pack(spark, odd.where("false"), "").count() == 0
+
+
+def test_only_texts_that_may_lose_bytes_are_brought_to_their_spans(spark):
+    from tests.llm.test_operators import removed_by_hand
+
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(chr(97 + i) for i in rng.integers(0, 26, n))
+    shared = word(300)
+    texts = [word(900) for _ in range(60)] + [shared + word(50), word(40) + shared, None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = substrings.remove(frame)
+    rows = {r.doc_id: r for r in got.collect()}
+    assert [bytes(rows[i].kept) for i in range(len(texts))] == removed_by_hand([(t or "").encode() for t in texts], substrings.LENGTH)
+    assert [i for i in rows if rows[i].removed] and got.columns == ["doc_id", "text", "kept", "removed"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan.split("Join")[0]  # the texts that lose nothing go past the join
