@@ -3,6 +3,8 @@
 import io
 import json
 import math
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -17,6 +19,7 @@ from emberline.operators import graph as GR
 from emberline.operators import identity as ID
 from emberline.operators import processes as PR
 from emberline.plans import fields
+from emberline.plans import lineage as L
 from emberline.plans import rules as R
 from emberline.sources import files, rows, telemetry
 from emberline.streaming import delivery, pipeline
@@ -394,3 +397,48 @@ def test_facts_go_only_with_what_opens_or_reports_a_run(spark):
     assert {(r.event_id, r.facts is None, r.name) for r in found.collect()} == {("1", False, "a.exe"), ("2", True, None)}
     runs = ID.incarnations(found)
     assert [r.kind for r in GR.edges(GR.with_nodes(events, found), runs).collect()] == ["wrote"]  # an event that comes twice has one edge
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("written", [L.cut, L.stored, L.held])
+def test_what_is_written_leaves_no_shuffle_files(spark, written):
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("a")).agg(F.count("*").alias("n"))
+    before, setting = _shuffle_files(spark), spark.conf.get(L.CLEANS)
+    out = written(df.join(df.withColumnRenamed("n", "m"), "a"))
+    for _ in range(50):  # they go in the background
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left and out.count() == 7 and spark.conf.get(L.CLEANS) == setting
+    assert df.count() == 7  # what it was made from can be asked again
+
+
+def test_steps_go_with_what_they_were_for(spark):
+    with L.passing(spark):
+        step = L.held(spark.range(5))
+        folder = Path(step.inputFiles()[0].removeprefix("file:")).parent
+        out = L.stored(step.where("id > 1"))
+        assert folder.is_dir()
+    assert not folder.exists() and out.count() == 3
+
+
+@pytest.mark.parametrize("most", [2, 3, 4096])
+def test_counts_look_at_the_first_edges_of_a_node(spark, monkeypatch, most):
+    monkeypatch.setattr(GR, "MOST_EDGES", most)
+    rows = [("e3", "resolved", "p", "d1", 3, "A.org", {"query_status": "3"}), ("e1", "resolved", "p", "d2", 1, "b.org", {}), ("e2", "injected", "q", "p", 2, "x/P.exe", {}), ("e4", "forked", "p", "r", 4, "cmd.exe", {}), ("e5", "accessed", "r", "s", 5, "C:/lsass.exe", {"access_mask": "16"}), ("e6", "injected", "s", "s", 6, "S.exe", {})]
+    edges = spark.createDataFrame(rows, "edge_id string, kind string, src string, dst string, us long, label string, attrs map<string,string>")
+    seen = {n: sorted((r for r in rows if n in r[2:4]), key=lambda r: (r[4], r[0]))[:most] for n in ("p", "q", "r", "s", "d1", "d2")}
+    assert {(r.node_id, r.edge_id) for r in GR.adjacent(edges).collect()} == {(n, r[0]) for n, rs in seen.items() for r in rs}
+    got = {r.node_id: r for r in PR.behaviour(edges).collect()}
+    assert set(got) == set(seen)
+    for n, rs in seen.items():
+        own = [r for r in rs if r[2] == n]
+        assert (got[n].dns_query_count, got[n].failed_dns_query_count, got[n].distinct_domain_count) == (sum(r[1] == "resolved" for r in own), sum(r[0] == "e3" for r in own), len({r[5].lower() for r in own if r[1] == "resolved"}))
+        assert (got[n].child_count, got[n].remote_thread_count, got[n].injected_thread_count) == (sum(r[1] == "forked" for r in own), sum(r[1] == "injected" for r in own), sum(r[1] == "injected" and r[2] != n for r in rs))
+        assert (got[n].lsass_access_count, got[n].access_targets) == ((1, ["lsass.exe"]) if any(r[1] == "accessed" for r in own) else (0, []))
+    counted = {(r.node_id, r.bit) for r in PR.bit_objects(edges).collect()}
+    assert counted == {(r.node_id, b) for r in PR.touched(edges).collect() for b in r.bits}
