@@ -2,13 +2,14 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-
-from emberline.llm import ann, jaccard, language, quality, substrings, topk, toxicity
+from emberline.llm import ann, common, jaccard, language, quality, substrings, topk, toxicity
 from tests.llm.test_operators import by_hand, prose
 
 # ---- vectors
@@ -284,3 +285,20 @@ def test_only_texts_that_may_lose_bytes_are_brought_to_their_spans(spark):
     assert [i for i in rows if rows[i].removed] and got.columns == ["doc_id", "text", "kept", "removed"]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan.split("Join")[0]  # the texts that lose nothing go past the join
+
+
+def test_what_is_checkpointed_leaves_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held() -> set[str]:
+        files = manager.getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("a")).agg(F.count("*").alias("n"))
+    before = held()
+    out = common.checkpointed(df)
+    for _ in range(50):  # they go in the background
+        if not (left := held() - before):
+            break
+        time.sleep(0.2)
+    assert not left and out.count() == df.count() == 7
