@@ -42,8 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = substrings.remove(docs)
-    return _with_text(docs, substrings.as_text(kept))
+    return _with_text(docs, substrings.remove(docs, as_text=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,7 +291,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             return {k: batch.column(i).filter(keep) for i, k in enumerate(("text", "_k1", "_k2"))}
 
         some = rows_from(slim.withColumn("slot", F.xxhash64("_k2")), needed, T._parse_datatype_string("text string, _k1 long, _k2 long"), "text")
-        return rows_from(some.join(wanted, ["_k1", "_k2"]).select("text", "s"), cut, cut_schema, "text")
+        return rows_from(some.join(wanted.hint("merge"), ["_k1", "_k2"]).select("text", "s"), cut, cut_schema, "text")
 
     whole = read(f"kinds between 2 and {UNIT}").select("u_anchor", "u_digest", "kinds", "bytes")
     ranges = checkpointed(read(f"kinds > {UNIT}"))
@@ -318,27 +318,36 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return covered.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("r")).alias("ranges"))
 
 
-def remove(df: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove(df: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """Adds kept (binary: the bytes that stay) and removed (array of first byte and end of each maximal removed run).
 
-    Takes doc_id and text; other columns pass through, and columns named kept or removed are replaced.
+    Takes doc_id and text; other columns pass through, and columns named kept or removed are replaced. as_text: kept is a string; a cut may fall
+    within a character, and what is left of such a character goes as well.
     """
     docs = keyed(df.drop("kept", "removed"))
     found = checkpointed(spans(docs, length))
     # Texts go to their spans only where there may be some; the filter is of fixed size, and what it lets through for nothing finds none.
     filter_ = df.sparkSession.sparkContext.broadcast(bitmap(found.select(F.shiftrightunsigned(F.xxhash64("_k2"), 64 - WANTED_BITS).alias("slot")), WANTED_BITS))
     marked, names = docs.withColumn("_slot", F.xxhash64("_k2")), docs.columns
+    runs_ = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+    fields = [T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())])))]
 
-    def where(lost: bool) -> DataFrame:
-        def some(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            at = hit(filter_.value, np.asarray(batch.column(batch.schema.get_field_index("_slot"))).view(np.uint64), WANTED_BITS)
-            keep = pa.array(at if lost else ~at)
-            return {k: batch.column(batch.schema.get_field_index(k)).filter(keep) for k in names}
+    def result(kept: list[bytes], removed: list[list[dict]]) -> dict[str, pa.Array]:
+        left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        return {"kept": left, "removed": pa.array(removed, runs_)}
 
-        return rows_from(marked, some, docs.schema, "text")
+    def may_lose(batch: pa.RecordBatch) -> np.ndarray:
+        return hit(filter_.value, np.asarray(batch.column(batch.schema.get_field_index("_slot"))).view(np.uint64), WANTED_BITS)
 
-    joined = where(True).join(found, ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    pair = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    def some(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        keep = pa.array(may_lose(batch))
+        return {k: batch.column(batch.schema.get_field_index(k)).filter(keep) for k in names}
+
+    def whole(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        keep = pa.array(~may_lose(batch))
+        own = {k: batch.column(batch.schema.get_field_index(k)).filter(keep) for k in names}
+        kept = texts_of(own["text"])
+        return own | result(kept, [[]] * len(kept))
 
     def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         kept, removed = [], []
@@ -352,22 +361,16 @@ def remove(df: DataFrame, length: int = LENGTH) -> DataFrame:
             edges = [0, *(x for g in gone for x in g), len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             removed.append([{"first": a, "end": b} for a, b in gone])
-        return {"kept": pa.array(kept, pa.binary()), "removed": pa.array(removed, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))}
+        return result(kept, removed)
 
-    joined = joined.unionByName(where(False).drop("_k1", "_k2"), allowMissingColumns=True)
-    return with_columns(joined, kernel, [T.StructField("kept", T.BinaryType()), T.StructField("removed", pair)], "text").drop("ranges")
+    # A task has one Python step at most, here and in spans(): each step of a task takes a worker of its own, and workers stay for the stages to come.
+    # So a step is not read by the next but through a shuffle, which the hint keeps where a side is small.
+    joined = rows_from(marked, some, docs.schema, "text").join(found.hint("merge"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    rest = rows_from(marked, whole, T.StructType([*docs.schema.fields, *fields]), "text").drop("_k1", "_k2")
+    return with_columns(joined, kernel, fields, "text").drop("ranges").unionByName(rest)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return docs.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def as_text(removed: DataFrame) -> DataFrame:
-    """The frame of remove() with kept as a string. A cut may fall within a character; what is left of such a character goes as well."""
-
-    def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        return {"kept": pa.array([x.decode("utf-8", "ignore") for x in batch.column(batch.schema.get_field_index("kept")).to_pylist()], pa.string())}
-
-    return with_columns(removed, kernel, [T.StructField("kept", T.StringType())], "kept")

@@ -302,3 +302,35 @@ def test_what_is_checkpointed_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.2)
     assert not left and out.count() == df.count() == 7
+
+
+def python_steps(plan):
+    """Python operators above the next exchanges, and the most that a task below them has: operators of one task have a worker each at once."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return python_steps(plan.executedPlan())
+    if "QueryStage" in name:
+        return python_steps(plan.plan())
+    children = [python_steps(plan.children().apply(i)) for i in range(plan.children().size())]
+    # tasks of a union run one of its sides
+    own = (max if name.startswith("Union") else sum)([n for n, _ in children] or [0]) + ("Arrow" in name or "Python" in name)
+    most = max([own, *(n for _, n in children)])
+    return (0, most) if "Exchange" in name else (own, most)
+
+
+def test_a_task_has_one_python_step(spark):
+    corpus = pytest.importorskip("corpus_pipeline")
+    from tests.llm.test_operators import removed_by_hand
+
+    shared = " ".join(f"word{i}" for i in range(60))
+    texts = [shared, "x " + shared, f"{shared} é", "short", None, *(" ".join(f"own{i}x{j}" for j in range(60)) for i in range(5))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for as_text in (False, True):
+        got = substrings.remove(frame, as_text=as_text)
+        kept = {r.doc_id: r.kept if as_text else bytes(r.kept) for r in got.collect()}
+        want = removed_by_hand([(t or "").encode() for t in texts], substrings.LENGTH)
+        assert [kept[i] for i in range(len(texts))] == ([x.decode("utf-8", "ignore") for x in want] if as_text else want)
+        assert python_steps(got._jdf.queryExecution().executedPlan())[1] == 1
+    got = corpus.drop_passages(spark, frame, "")
+    got.collect()
+    assert python_steps(got._jdf.queryExecution().executedPlan())[1] == 1
