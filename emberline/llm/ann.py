@@ -2,9 +2,9 @@
 
 Vectors are scaled to length 1 and rotated by a fixed random rotation. Lists belong to centres fitted on a bounded sample; their number grows with
 the root of the table's size. Every row is put into the list of its nearest centre; the index, sorted by list, is written once. A query probes its
-nearest lists, as many as hold CERTAIN of the sample's own neighbours. Within a list the rotated vectors are read in blocks of columns: after each
+nearest lists, as many as hold CERTAIN of the sample's own neighbours and k rows of the sample at least. Within a list the rotated vectors are read in blocks of columns: after each
 block, a test of the partial distance drops candidates that are too unlikely to be among the k nearest. What survives is scored in double
-precision on the original vectors.
+precision on the original vectors. First limits let the k nearest of the sample in probed lists pass every test, so a query is not left with fewer than k.
 
 Null, empty, zero and non-finite vectors take no part; rows that repeat an id count once (see usable()); equal scores go to the smaller id; vectors
 of different lengths are not compared. Extra columns are dropped. No queries or no candidates give no rows.
@@ -79,6 +79,19 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
 
+def slack(hi: int, width: int) -> float:
+    """What part of a limit the squared distance over the first columns may take."""
+    return (1 + SURE / np.sqrt(hi)) ** 2 * (hi / width) if hi < width else 1.0
+
+
+def passing(turned: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For each query the least limit that lets its row of others (queries, vectors, columns) pass all tests of scan()."""
+    width = turned.shape[1]
+    partial = np.square(others - turned[:, None]).cumsum(axis=2)
+    ends = [min(width, lo + COLUMNS) for lo in range(0, width, COLUMNS)]
+    return np.max([partial[:, :, hi - 1].max(axis=1) / slack(hi, width) for hi in ends], axis=0) + 1e-6
+
+
 def scan(x: np.ndarray, turned: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of queries and of candidates whose squared distance is within the query's limit, and the distances.
 
@@ -89,7 +102,7 @@ def scan(x: np.ndarray, turned: np.ndarray, limits: np.ndarray) -> tuple[np.ndar
     for lo in range(0, width, COLUMNS):
         hi = min(width, lo + COLUMNS)
         a, b = turned[:, lo:hi], x[:, lo:hi]
-        most = limits * (1 + SURE / np.sqrt(hi)) ** 2 * (hi / width) if hi < width else limits
+        most = limits * slack(hi, width)
         if q is None:
             d = np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T), 0)
             q, v = np.nonzero(d <= most[:, None] + 1e-6)
@@ -177,17 +190,24 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, lists: int | None =
         sample, known = unit(np.stack(drawn["v"].to_list()).astype(np.float64)), drawn["vec_id"].to_numpy()
         c = centres(sample, lists or int(min(MOST, max(FEWEST, n**0.5))))
         turn, many = rotation(width), probes or probes_for(sample, c, k)
+        turned_sample, of = sample @ turn, (sample @ c.T).argmax(axis=1)
 
-        def searcher(own: np.ndarray, vectors: np.ndarray, c: np.ndarray = c, turn: np.ndarray = turn, many: int = many, sample: np.ndarray = sample, known: np.ndarray = known):
+        def searcher(own: np.ndarray, vectors: np.ndarray, c: np.ndarray = c, turn: np.ndarray = turn, many: int = many, sample: np.ndarray = sample, known: np.ndarray = known, turned_sample: np.ndarray = turned_sample, of: np.ndarray = of):
             x = unit(vectors)
             probed = np.zeros((len(x), len(c)), dtype=bool)
-            np.put_along_axis(probed, np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :many], True, axis=1)
-            limits = np.full(len(x), np.inf)
-            for i in range(0, len(x), ROWS):  # rows of the sample are candidates, so the kth of them limits the kth of all
-                near = np.where(known == own[i : i + ROWS, None], -np.inf, x[i : i + ROWS] @ sample.T)
-                if len(known) > k:
-                    limits[i : i + ROWS] = 2 - 2 * np.partition(near, len(known) - k, axis=1)[:, len(known) - k] + 1e-6
-            turned = x @ turn
+            limits, turned = np.full(len(x), np.inf), x @ turn
+            for i in range(0, len(x), ROWS):
+                other = known != own[i : i + ROWS, None]
+                order = np.argsort(np.argsort(-(x[i : i + ROWS] @ c.T), axis=1, kind="stable"), axis=1)
+                place = np.where(other, order[:, of], len(c))
+                if len(known) <= k:
+                    probed[i : i + ROWS] = True
+                    continue
+                depth = np.maximum(many - 1, np.minimum(np.partition(place, k - 1, axis=1)[:, k - 1], len(c) - 1))[:, None]
+                probed[i : i + ROWS] = order <= depth
+                # rows of the sample in these lists are candidates, so the kth of them limits the kth of all
+                near = np.where(other & (place <= depth), x[i : i + ROWS] @ sample.T, -np.inf)
+                limits[i : i + ROWS] = passing(turned[i : i + ROWS], turned_sample[np.argpartition(-near, k - 1, axis=1)[:, :k]])
 
             def start() -> Look:
                 return Search(own, vectors, turned, probed, limits, k).look

@@ -334,3 +334,19 @@ def test_a_task_has_one_python_step(spark):
     got = corpus.drop_passages(spark, frame, "")
     got.collect()
     assert python_steps(got._jdf.queryExecution().executedPlan())[1] == 1
+
+
+def test_a_query_whose_lists_hold_too_few_gets_all_its_neighbours(spark):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((120, 16))
+    x[0] = 0.0
+    x[0, 0], x[1:, 0] = 9.0, -np.abs(x[1:, 0])  # far from all others, so alone in its list
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    for n, lists in ((120, 40), (4, 16), (1, 16)):
+        rows = ann.nonzero(frame.where(f"vec_id < {n}"))
+        got = defaultdict(list)
+        for r in ann.nearest(rows, rows, lists=lists, probes=1).collect():
+            got[r.query_id].append((r.rank, r.vec_id))
+        for q in range(n):
+            own = sorted(got[q])
+            assert [r for r, _ in own] == list(range(1, min(5, n - 1) + 1)) and len({v for _, v in own} - {q}) == len(own)
