@@ -4,7 +4,8 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
 leftmost gram of the least hash. Equal strings have equal anchors, so strings can only repeat within the segments (all strings of a run that
 share an anchor occurrence) of one anchor value. Anchors that occur once are dropped. Segments with the same bytes are counted, not kept;
 where an anchor has only one such content, all of it repeats. The other distinct segments are brought together by anchor in blocks of bounded
-size. In a block, suffixes are sorted, and intervals of equal prefixes are extended backward, breadth first, one byte at a time: common prefixes
+size. In a block, strings that lie in no window of bytes that another segment has, too, alike around the anchor, cannot repeat and are left out.
+Of the rest, suffixes are sorted, and intervals of equal prefixes are extended backward, breadth first, one byte at a time: common prefixes
 come out by increasing value, and the expansion stops at `length`. Segments of an anchor with very many distinct ones (a common line
 between unlike neighbours) are cut into short ranges of strings; ranges have to share their common core, so most of them are alone and go.
 What still is very many is spread over several units; strings that are alone in their unit are then compared by hash across units, so nothing
@@ -33,7 +34,13 @@ RANGE = 12
 #: Bits of the filter, sent to all tasks, of the documents to read segments from: 2 MB.
 WANTED_BITS = 24
 #: Bytes of the segments whose transform is built at once, unless a unit has more.
-BLOCK_BYTES = 700_000
+BLOCK_BYTES = 300_000
+#: Bytes of text whose grams are hashed at once, unless a text is longer: what is made of them stays within a core's cache.
+HASHED_BYTES = 100_000
+#: Searches among the last ends of intervals cost about as much as so many places in a sum over all of them.
+SEARCHED = 8
+#: Places of strings that are told apart, before a transform is built, as to whether the strings may repeat.
+STEP = 24
 POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -43,22 +50,35 @@ def grams(data: np.ndarray, size: int) -> np.ndarray:
     word = np.ndarray((n + size - 7,), dtype="<u8", buffer=data, strides=(1,))
     out = np.zeros(n, dtype=np.uint64)
     for i in range(0, size, 8):
-        out = (out ^ word[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= word[i : i + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(31)
     return mix(out)
 
 
-def anchored(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Segments of texts: text, first string, number of strings, hash of the anchor, and where it is from the first string on. All strings of a segment share the anchor occurrence."""
+def content_by_grams(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hashes of byte strings of any lengths from `gram` on, by the hashes of grams side by side; the last gram ends where the string ends."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    many = sizes // gram + 1
+    k = ragged(np.zeros(len(many), dtype=np.int64), many)
+    power = np.cumprod(np.full(int(many.max()), 0xD6E8FEB86659FD93, dtype=np.uint64))
+    terms = h[np.repeat(starts, many) + np.minimum(k * gram, np.repeat(sizes - gram, many))] * power[k]
+    terms ^= terms >> np.uint64(29)
+    return mix(np.add.reduceat(terms, np.cumsum(many) - many) + sizes.astype(np.uint64))
+
+
+def anchored(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, digests: bool = True) -> tuple[np.ndarray, ...]:
+    """Segments of texts: text, first string, number of strings, hash of the anchor, where it is from the first string on, and hash of the bytes (if asked for). All strings of a segment share the anchor occurrence."""
     sizes = np.array([len(x) for x in texts], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join([*texts, bytes(length + 8)]), dtype=np.uint8)
     many = np.maximum(sizes - length + 1, 0)
     if not many.sum():
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
     if len(data) > int(POSITION):
-        parts = [anchored_long(t, length, gram) if len(t) > 8_000_000 else anchored([t], length, gram) for t in texts]
-        return (np.concatenate([np.full(len(p[0]), i, np.int64) for i, p in enumerate(parts)]), *(np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4)))
+        parts = [anchored_long(t, length, gram, digests) if len(t) > 8_000_000 else anchored([t], length, gram, digests) for t in texts]
+        return (np.concatenate([np.full(len(p[0]), i, np.int64) for i, p in enumerate(parts)]), *(np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4, 5)))
     h = grams(data, gram)
     key = (h & ~POSITION) | np.arange(len(h), dtype=np.uint64)
     width, span = length - gram + 1, 1
@@ -68,21 +88,62 @@ def anchored(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
         span *= 2
     if span < width:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    at = ragged(starts, many)  # where strings start
-    of = np.repeat(np.arange(len(texts)), many)
-    anchor = (least[at] & POSITION).astype(np.int64)
-    first = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
-    return of[first], at[first] - starts[of[first]], np.diff(first, append=len(at)), h[anchor[first]], anchor[first] - at[first]
-
-
-def anchored_long(text: bytes, length: int, gram: int, step: int = 4_000_000) -> tuple[np.ndarray, ...]:
+    has = np.flatnonzero(many)
+    inside = np.zeros(len(least) + 1, dtype=np.int8)  # whether a string starts there
+    inside[starts[has]] = 1
+    inside[(starts + many)[has]] = -1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    new = np.concatenate([[True], least[1:] != least[:-1]])
+    new[starts[has]] = True
+    first = np.flatnonzero(new & inside)
+    of = has[np.searchsorted(starts[has], first, side="right") - 1]
+    count = np.minimum(np.append(first[1:], len(data)), (starts + many)[of]) - first
+    anchor = (least[first] & POSITION).astype(np.int64)
+    return of, first - starts[of], count, h[anchor], anchor - first, content_by_grams(h, first, count + length - 1, gram) if digests else np.zeros(len(first), np.uint64)
+
+
+def anchored_long(text: bytes, length: int, gram: int, digests: bool = True, step: int = 4_000_000) -> tuple[np.ndarray, ...]:
     """As anchored for one very long text, part by part; a segment may be cut in two where parts meet, which changes no result."""
     found = []
     for i in range(0, max(1, len(text) - length + 1), step):
-        _, a, *more = anchored([text[i : i + step + length - 1]], length, gram)
+        _, a, *more = anchored([text[i : i + step + length - 1]], length, gram, digests)
         found.append((a + i, *more))
-    a, n, h, place = (np.concatenate(x) for x in zip(*found, strict=True))
-    return np.zeros(len(a), np.int64), a, n, h, place
+    return (np.zeros(sum(len(x[0]) for x in found), np.int64), *(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def candidates(data: np.ndarray, starts: np.ndarray, many: np.ndarray, place: np.ndarray, unit: np.ndarray, all_of: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Runs of strings (segment, first, number) that may repeat in another segment of the same unit; all strings of the segments that all_of marks.
+
+    Equal strings lie alike around their anchors. So all strings that start within a few bytes of each other share a window that lies alike in
+    segments that repeat any of them: where no other segment of the unit has that window, by its hash, none of them repeats there.
+    """
+    h = grams(data, GRAM)
+    windows = -(-(length - GRAM + 1) // STEP)
+    size = length - STEP + 1
+    steps = [*range(0, size - GRAM, GRAM), size - GRAM]
+    high, low = place, place - many + 1  # how far before the anchor strings start
+    segment, window, keys = [], [], []
+    for w in range(windows):
+        i = np.flatnonzero((w * STEP <= high) & ((w + 1) * STEP > low) & ~all_of)
+        at = starts[i] + place[i] - w * STEP
+        key = mix(unit[i] + np.uint64(w))
+        for k in steps:
+            key = (key ^ h[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(31)
+        segment.append(i)
+        window.append(np.full(len(i), w))
+        keys.append(key)
+    i, w, key = np.concatenate(segment), np.concatenate(window), np.concatenate(keys)
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    twice = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(order) else np.zeros(0, dtype=bool)
+    shared = np.zeros((len(starts), windows + 2), dtype=np.int8)
+    shared[i[order[twice]], w[order[twice]] + 1] = 1
+    edge = np.diff(shared, axis=1)
+    (of, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)  # by segment, so that ends meet their beginnings
+    near, far = np.maximum(a * STEP, low[of]), np.minimum(b * STEP - 1, high[of])
+    whole = np.flatnonzero(all_of)
+    return np.concatenate([of, whole]), np.concatenate([place[of] - far, np.zeros(len(whole), np.int64)]), np.concatenate([far - near + 1, many[whole]])
 
 
 def suffixes(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -134,11 +195,20 @@ def repeated(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nda
     open_ = np.flatnonzero(~differs & ~chained)
     low, high = after[open_ - 1], after[open_]
     fresh = np.flatnonzero(differs)
+    marks = np.zeros(n, dtype=np.int32)
+    ends = np.empty(n, dtype=np.int32)
     for _ in range(1, length):
         if not len(fresh):  # no interval has been split, so none will be
             break
-        ends = np.cumsum(differs, dtype=np.int32)
-        apart = ends[low] != ends[high]
+        # Only the last ends can lie between places that have none between them so far.
+        if len(open_) * SEARCHED < n:
+            last = np.sort(fresh)
+            apart = np.searchsorted(last, low, side="right") != np.searchsorted(last, high, side="right")
+        else:
+            marks[fresh] = 1
+            np.cumsum(marks, out=ends)
+            marks[fresh] = 0
+            apart = ends[low] != ends[high]
         handed = back[fresh]
         fresh = np.concatenate([open_[apart], handed[handed >= 0]])
         differs[fresh] = True
@@ -160,18 +230,15 @@ OUTCOME = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("di
 def _segments(docs: DataFrame, length: int, only_anchor: bool) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         texts = texts_of(batch.column(0))
-        of, first, many, h, place = anchored(texts, length)
+        of, first, many, h, place, digest = anchored(texts, length, digests=not only_anchor)
         anchor = pa.array(h.view(np.int64))
         if only_anchor:
             return {"anchor": anchor}
-        starts = np.cumsum([0, *map(len, texts)])[:-1]
-        data = np.frombuffer(b"".join([*texts, bytes(16)]), dtype=np.uint8)
-        digest = content(data, starts[of] + first, many + length - 1)
         k1, k2 = (np.asarray(batch.column(i)) for i in (1, 2))
         return {"anchor": anchor, "digest": pa.array(digest.view(np.int64)), "_k1": pa.array(k1[of]), "_k2": pa.array(k2[of]), "first": pa.array(first, pa.int32()), "many": pa.array(many, pa.int32()), "place": pa.array(place, pa.int32())}
 
     schema = T._parse_datatype_string("anchor long" if only_anchor else SEGMENT)
-    return rows_from(docs.select("text", "_k1", "_k2"), kernel, schema, "text", 1_000_000)
+    return rows_from(docs.select("text", "_k1", "_k2"), kernel, schema, "text", HASHED_BYTES)
 
 
 def content(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -187,15 +254,22 @@ def content(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 
 def _expanded(units: DataFrame, length: int) -> DataFrame:
-    """OUTCOME rows of distinct segments (anchor, salt, salts, digest, bytes) sorted by unit within partitions.
+    """OUTCOME rows of distinct segments (anchor, salt, salts, digest, bytes, place) sorted by unit within partitions.
 
     first and last: strings of a segment that repeat within its unit. string: the hash of a string of a spread anchor that is alone in its unit
     (first and last tell where), or that the unit has more than once (no first).
     """
 
-    def block(rows: list[tuple]) -> Iterator[tuple]:
-        segments = [r[4] for r in rows]
-        sizes = np.array([len(x) for x in segments], dtype=np.int64)
+    def block(distinct: list[tuple]) -> Iterator[tuple]:
+        sizes = np.array([len(r[4]) for r in distinct], dtype=np.int64)
+        data = np.frombuffer(b"".join([*(r[4] for r in distinct), bytes(GRAM)]), dtype=np.uint8)
+        unit = np.array([r[0] for r in distinct], dtype=np.int64).view(np.uint64)
+        of, first, many = candidates(data, np.cumsum(sizes) - sizes, sizes - length + 1, np.array([r[5] for r in distinct], dtype=np.int64), unit, np.array([r[2] > 1 for r in distinct]), length)
+        if not len(of):
+            return
+        rows = [distinct[i] for i in of.tolist()]
+        segments = [r[4][a : a + n + length - 1] for r, a, n in zip(rows, first.tolist(), many.tolist(), strict=True)]
+        sizes = many + length - 1
         data = np.frombuffer(b"\xff".join([*segments, b"\xff" * 264]), dtype=np.uint8)
         starts = np.cumsum(sizes + 1) - sizes - 1
         order, same = repeated(data, length)
@@ -207,7 +281,7 @@ def _expanded(units: DataFrame, length: int) -> DataFrame:
         if spread.any():
             leader = np.zeros(len(data), dtype=bool)
             leader[order[~same]] = True
-            many = np.maximum(sizes - length + 1, 0) * spread
+            many = many * spread
             at = ragged(starts, many)
             of = np.repeat(np.arange(len(rows)), many)
             keep = leader[at]
@@ -215,10 +289,13 @@ def _expanded(units: DataFrame, length: int) -> DataFrame:
             hashes = content(data, at, np.full(len(at), length, dtype=np.int64)).view(np.int64)
             for h, i, p, more in zip(hashes.tolist(), of.tolist(), (at - starts[of]).tolist(), flags[at].tolist(), strict=True):
                 yield (rows[i][0], rows[i][3], None if more else p, None if more else p, h)
-        for r, s, n in zip(rows, starts.tolist(), sizes.tolist(), strict=True):
-            if n >= length:
-                for a, b in zip(*runs(flags[s : s + n - length + 1]), strict=True):
-                    yield (r[0], r[3], int(a), int(b), None)
+        flags[(starts + sizes)[:, None] - np.arange(length)] = False  # no string starts there
+        flags[starts[-1] + sizes[-1] :] = False
+        low, high = runs(flags)
+        of = np.searchsorted(starts, low, side="right") - 1
+        back = first[of] - starts[of]
+        for i, a, b in zip(of.tolist(), (low + back).tolist(), (high + back).tolist(), strict=True):
+            yield (rows[i][0], rows[i][3], a, b, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -231,7 +308,7 @@ def _expanded(units: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=OUTCOME.names)
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if size >= BLOCK_BYTES and (row[0], row[1]) != (held[-1][0], held[-1][1]):
                     yield from given()
                     held, size = [], 0
@@ -262,7 +339,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for s in found:
                 segment = text[s["first"] : s["first"] + s["many"] + length - 1]
                 if s["kinds"] <= UNIT:
-                    out.append((s["anchor"], s["digest"], s["anchor"], s["digest"], s["kinds"], 0, segment))
+                    out.append((s["anchor"], s["digest"], s["anchor"], s["digest"], s["kinds"], 0, segment, s["place"]))
                     continue
                 # ranges are counted from the anchor occurrence, so equal strings are in equal ranges
                 place = s["place"]
@@ -274,12 +351,12 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     part = segment[a : b - 1 + length]
                     both = content(np.frombuffer(part + core.tobytes(), dtype=np.uint8), np.array([0, len(part)]), np.array([len(part), len(core)]))
                     refined = mix(both[1:] ^ mix(np.array([s["anchor"]], dtype=np.int64).view(np.uint64) + np.uint64(k)))
-                    out.append((int(refined.view(np.int64)[0]), int(both[:1].view(np.int64)[0]), s["anchor"], s["digest"], 0, a, part))
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                    out.append((int(refined.view(np.int64)[0]), int(both[:1].view(np.int64)[0]), s["anchor"], s["digest"], 0, a, part, place - a))
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
         return {f.name: pa.array(c, t) for f, c, t in zip(cut_schema.fields, columns, kinds_, strict=True)}
 
-    cut_schema = T._parse_datatype_string("u_anchor long, u_digest long, anchor long, digest long, kinds long, shift int, bytes binary")
+    cut_schema = T._parse_datatype_string("u_anchor long, u_digest long, anchor long, digest long, kinds long, shift int, bytes binary, place int")
 
     def read(which: str) -> DataFrame:
         """The bytes of distinct segments, from one document that has each."""
@@ -293,14 +370,14 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         some = rows_from(slim.withColumn("slot", F.xxhash64("_k2")), needed, T._parse_datatype_string("text string, _k1 long, _k2 long"), "text")
         return rows_from(some.join(wanted.hint("merge"), ["_k1", "_k2"]).select("text", "s"), cut, cut_schema, "text")
 
-    whole = read(f"kinds between 2 and {UNIT}").select("u_anchor", "u_digest", "kinds", "bytes")
+    whole = read(f"kinds between 2 and {UNIT}").select("u_anchor", "u_digest", "kinds", "bytes", "place")
     ranges = checkpointed(read(f"kinds > {UNIT}"))
     met = ranges.groupBy("u_anchor").agg(F.count("*").alias("n")).where("n > 1").select("u_anchor")
-    parts = ranges.join(met, "u_anchor").groupBy("u_anchor", "u_digest").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"))
+    parts = ranges.join(met, "u_anchor").groupBy("u_anchor", "u_digest").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"), F.first("place").alias("place"))
     parts = checkpointed(parts.join(parts.groupBy("u_anchor").agg(F.count("*").alias("kinds")), "u_anchor"))
     salts = F.ceil(F.col("kinds") / UNIT).cast("int")
-    units = whole.unionByName(parts.where("kinds > 1").select("u_anchor", "u_digest", "kinds", "bytes"))
-    units = units.select(F.col("u_anchor").alias("anchor"), F.pmod("u_digest", salts).cast("int").alias("salt"), salts.alias("salts"), F.col("u_digest").alias("digest"), "bytes")
+    units = whole.unionByName(parts.where("kinds > 1").select("u_anchor", "u_digest", "kinds", "bytes", "place"))
+    units = units.select(F.col("u_anchor").alias("anchor"), F.pmod("u_digest", salts).cast("int").alias("salt"), salts.alias("salts"), F.col("u_digest").alias("digest"), "bytes", "place")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     outcome = checkpointed(_expanded(units.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt", "digest"), length))
     across = outcome.where("string is not null").groupBy("string").agg(F.count("*").alias("units")).where("units > 1").select("string")

@@ -6,6 +6,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,48 @@ def test_very_long_texts(spark, monkeypatch):
     assert [bytes(r.kept) for r in got] == removed_by_hand([t.encode() for t in texts], substrings.LENGTH)
 
 
+@pytest.mark.parametrize("length", [64, 65, 100, 200])
+@pytest.mark.parametrize("salts", [1, 2])
+def test_only_strings_that_may_repeat_are_transformed(length, salts, monkeypatch):
+    """Near copies, and texts that share no more than a phrase: the transform gets little beyond what repeats, and nothing that repeats is lost."""
+    rng = random.Random(length)
+    text = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    phrase, texts = text(50), []
+    for _ in range(60):
+        texts.append(text(400) + phrase + text(400))
+    for base in texts[:6]:
+        for _ in range(3):
+            near = bytearray(base)
+            for _ in range(rng.randrange(1, 9)):
+                near[rng.randrange(len(near))] = 120
+            texts.append(bytes(near[rng.randrange(40) :]))
+    of, first, many, h, place, *digest = substrings.anchored(texts, length)
+    bytes_of = [texts[i][a : a + n + length - 1] for i, a, n in zip(of.tolist(), first.tolist(), many.tolist(), strict=True)]
+    distinct = {*zip(h.view(np.int64).tolist(), bytes_of, place.tolist(), strict=True)}
+    kinds = Counter(a for a, *_ in distinct)
+    rows = [(a, 0, salts, d, b, p) for d, (a, b, p) in enumerate(sorted(distinct)) if kinds[a] > 1]
+    transformed = []
+    monkeypatch.setattr(substrings, "repeated", lambda data, length, f=substrings.repeated: (transformed.append(len(data)), f(data, length))[1])
+
+    class Units:
+        def mapInArrow(self, run, schema):
+            return run
+
+    def batches():
+        columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32()), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["anchor", "salt", "salts", "digest", "bytes", "place"])
+
+    out = [r for b in substrings._expanded(Units(), length)(batches()) for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True)]
+    count = Counter((a, b[i : i + length]) for a, _, _, _, b, _ in rows for i in range(len(b) - length + 1))
+    want = {(a, d, i) for a, _, _, d, b, _ in rows for i in range(len(b) - length + 1) if count[a, b[i : i + length]] > 1}
+    assert {(a, d, i) for a, d, x, y, s in out if s is None for i in range(x, y + 1)} == want and want
+    if salts == 1:
+        assert sum(transformed) < (0.7 if length > 65 else 0.9) * sum(len(r[4]) for r in rows) and not [r for r in out if r[4] is not None]
+    else:  # strings of anchors that lie in several units are all told, once each
+        assert len([r for r in out if r[4] is not None]) == len(count)
+    assert len({*zip(h.tolist(), *(x.tolist() for x in digest), strict=True)}) == len(distinct)  # contents are told apart, and equal ones are not
+
+
 # ---- models
 
 
