@@ -9,7 +9,7 @@ from emberline.plans import provenance, registry
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["process_records", "rarity_dimensions"])
+@pytest.mark.parametrize("name", ["process_records", "rarity_dimensions", "rarity_readiness"])
 def test_all_edges_count(spark, monkeypatch, name):
     monkeypatch.setattr(GR, "MOST_EDGES", 1)
     monkeypatch.setattr(provenance, "_recorded", {})
