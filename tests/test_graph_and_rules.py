@@ -442,3 +442,20 @@ def test_counts_look_at_the_first_edges_of_a_node(spark, monkeypatch, most):
         assert (got[n].lsass_access_count, got[n].access_targets) == ((1, ["lsass.exe"]) if any(r[1] == "accessed" for r in own) else (0, []))
     counted = {(r.node_id, r.bit) for r in PR.bit_objects(edges).collect()}
     assert counted == {(r.node_id, b) for r in PR.touched(edges).collect() for b in r.bits}
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_records_count_all_edges_of_a_node(spark, monkeypatch, most):
+    shape = "edge_id string, kind string, src string, dst string, us long, label string, attrs map<string,string>"
+    rows = [(f"r{i}", "resolved", "p", f"d{i % 7}", i, f"{'aA'[i % 2]}{i % 7}.org", {"query_status": str(i % 2)}) for i in range(20)]
+    rows += [(f"w{i}", "ran_script", "p", f"s{i}", 30 + i, "s", {"text_length": "10", "obfuscated": "true"}) for i in range(4)]
+    rows += [(f"j{i}", "injected", f"q{i % 3}", "p", 40 + i, "x/P.exe", {}) for i in range(5)] + [("a1", "accessed", "p", "q1", 50, "x/LSASS.exe", {"access_mask": "16"}), ("f1", "forked", "p", "q2", 51, "cmd.exe", {}), ("j9", "injected", "p", "p", 52, "P.exe", {})]
+    edges = spark.createDataFrame(rows, shape)
+    wanted = {r.node_id: r for r in PR.behaviour(edges).collect()}  # fewer than MOST_EDGES, so all count
+    found = {r.node_id: r.found for r in PR._summed(edges, None).collect()}
+    monkeypatch.setattr(GR, "MOST_EDGES", most)
+    got = {r.node_id: r for r in PR._summed(edges, None, processes=True).collect()}
+    assert set(got) == {"p", "q0", "q1", "q2"}
+    assert all(got[n].asDict() == wanted[n].asDict() | {"found": found[n]} for n in got)
+    assert (got["p"].dns_query_count, got["p"].distinct_domain_count, got["p"].script_block_bytes, got["p"].injected_thread_count, got["p"].access_targets) == (20, 7, 40, 5, ["lsass.exe"])
+    assert {x.bit: x.objects for x in got["p"].found} == {"child:shell_or_lolbin": 1, "process_access:lsass_read": 1, "remote_thread:out": 1, "remote_thread:in": 3, "dns:failed_query": 7, "script_block:obfuscated": 4}
